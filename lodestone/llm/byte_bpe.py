@@ -215,14 +215,14 @@ def bpe(path: str) -> PairIndexBpe:
     return _KEPT[path]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK, values: bool = True) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Record batches cut to at most ``most`` bytes of a binary column, with that column's values."""
     for batch in batches:
         col = batch.column(column)
         sizes = np.diff(np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4)) if len(col) else np.empty(0, int)
         for s in slices(sizes, most):
             some = batch.slice(s.start, s.stop - s.start)
-            yield some, some.column(column).to_pylist()
+            yield some, some.column(column).to_pylist() if values else []
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str = f"{TOKENIZER_FOLDER}/byte_bpe_50k.json", *, text_col: str = "text", out: str = "ids") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, iso_media, token_planes
+from . import byte_bpe, iso_media, minhash_forest, token_planes
 
 QUERIES = {
     "op1_token_planes": token_planes.op1_token_planes,
+    "op3_minhash_forest": minhash_forest.op3_minhash_forest,
     "op4_iso_media": iso_media.op4_iso_media,
     "op8_pair_index_bpe": byte_bpe.op8_pair_index_bpe,
 }
