@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, iso_media, minhash_forest, spherical_caps, token_planes
+from . import byte_bpe, iso_media, minhash_forest, spherical_caps, string_kernel, token_planes
 
 QUERIES = {
     "op1_token_planes": token_planes.op1_token_planes,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_iso_media": iso_media.op4_iso_media,
     "op7_spherical_caps": spherical_caps.op7_spherical_caps,
     "op8_pair_index_bpe": byte_bpe.op8_pair_index_bpe,
+    "op10_string_kernel": string_kernel.op10_string_kernel,
 }
 
 ORACLES: dict[str, str] = {}
