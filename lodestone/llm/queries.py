@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, iso_media, minhash_forest, spherical_caps, string_kernel, token_planes
+from . import byte_bpe, iso_media, line_crf, minhash_forest, spherical_caps, string_kernel, token_planes
 
 QUERIES = {
     "op1_token_planes": token_planes.op1_token_planes,
     "op3_minhash_forest": minhash_forest.op3_minhash_forest,
     "op4_iso_media": iso_media.op4_iso_media,
+    "op5_line_crf": line_crf.op5_line_crf,
     "op7_spherical_caps": spherical_caps.op7_spherical_caps,
     "op8_pair_index_bpe": byte_bpe.op8_pair_index_bpe,
     "op10_string_kernel": string_kernel.op10_string_kernel,
