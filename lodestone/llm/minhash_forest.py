@@ -7,8 +7,9 @@ prefix) of more classes than ``region`` is entered deeper, value by value, down
 
 Candidates pass when the signatures' agreement is not far below the threshold. Passing pairs are
 confirmed on the full shingle sets, in two rounds: first the best spanning forest of each region;
-then, in regions that still hold several components, every passing pair between components. So a
-group of thousands of copies costs as many checks as it has members, and no link is lost.
+then, in regions that still hold several components, every passing pair between components, on
+the spot. So a group of thousands of copies costs as many checks as it has members, no link is
+lost, and no round hands on more pairs than rows.
 """
 
 from __future__ import annotations
@@ -148,24 +149,34 @@ def _regions(prefixes: DataFrame, least: int, region: int, scratch: Scratch) ->
     return scratch.write(out.join(first, "region", "left_semi"), "regions")
 
 
-def _pairs(rows: DataFrame, floor: float, spanning: bool) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of blocks of (block, rep, comp, chunk, pure, sign) whose
-    signatures agree in ``floor`` of the values or more. spanning: of each block a spanning
-    forest of the best agreements; else all pairs between components."""
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Of two sorted sets: 100 * intersection >= percent * union."""
+    if not len(p) or not len(q) or 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = np.sort(np.concatenate([p, q]))
+    n = int((both[1:] == both[:-1]).sum())
+    return 100 * n >= percent * (len(p) + len(q) - n)
+
+
+def _pairs(rows: DataFrame, floor: float, percent: int | None) -> DataFrame:
+    """Pairs (a, b), a < b, of blocks of (block, rep, comp, chunk, pure, sign) whose signatures
+    agree in ``floor`` of the values or more: of each block a spanning forest of the best
+    agreements. With ``percent``, rows also bring their shingles: then every pair between
+    components is confirmed on the sets at once, unless links found before it in the block have
+    joined its components, and the links are returned."""
 
     def work(t: pa.Table, cuts: np.ndarray) -> pa.Table:
         names = t.column_names
         rep, comp, chunk, pure = (t.column(names.index(c)).to_numpy() for c in ("rep", "comp", "chunk", "pure"))
         sign = np.frombuffer(b"".join(t.column(names.index("sign")).to_pylist()), np.uint32).reshape(-1, VALUES)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column(names.index("shingles")).to_pylist()] if percent else []
         left, right = [], []
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b - a < 2:
                 continue
             s, n = sign[a:b], b - a
             i, j = np.triu_indices(n, 1)
-            ok = rep[a:b][i] != rep[a:b][j]
-            if not spanning:
-                ok &= comp[a:b][i] != comp[a:b][j]
+            ok = comp[a:b][i] != comp[a:b][j]
             ok &= pure[a:b][i] | (chunk[a:b][i] != chunk[a:b][j])
             i, j = i[ok], j[ok]
             agree = np.empty(len(i), np.float32)
@@ -173,9 +184,14 @@ def _pairs(rows: DataFrame, floor: float, spanning: bool) -> DataFrame:
                 agree[k : k + 20_000] = (s[i[k : k + 20_000]] == s[j[k : k + 20_000]]).mean(axis=1)
             ok = agree >= floor
             i, j, agree = i[ok], j[ok], agree[ok]
-            if spanning and len(i) > 1:
-                forest, best = Forest(n), np.argsort(-agree, kind="stable")
-                keep = [k for k in best.tolist() if forest.join(int(i[k]), int(j[k]))]
+            if len(i):
+                of = np.unique(comp[a:b], return_inverse=True)[1].tolist()
+                forest, keep = Forest(n), []
+                for k in np.argsort(-agree, kind="stable").tolist():
+                    x, y = of[i[k]], of[j[k]]
+                    if forest.root(x) != forest.root(y) and (percent is None or _similar(sets[a + i[k]], sets[a + j[k]], percent)):
+                        forest.join(x, y)
+                        keep.append(k)
                 i, j = i[keep], j[keep]
             left.append(rep[a:b][i])
             right.append(rep[a:b][j])
@@ -194,11 +210,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True)) if len(p) and len(q) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
+            sides = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
+            keep = [_similar(p, q, percent) for p, q in zip(*sides)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return met.mapInArrow(run, "a long, b long").distinct()
@@ -229,7 +242,7 @@ def near_duplicates(
     regions = _regions(_prefixes(signs, least), least, region, scratch)
     blocks_ = meeting_blocks(regions, "region", "rep", 2 * region, chain=True)
     cols = ["block", "rep", "comp", "chunk", "pure", "sign"]
-    first = _pairs(blocks_.join(signs, "rep").withColumn("comp", F.col("rep")).select(*cols), floor, True).distinct()
+    first = _pairs(blocks_.join(signs, "rep").withColumn("comp", F.col("rep")).select(*cols), floor, None).distinct()
     pairs = scratch.write(first, "pairs")
     named = scratch.write(regions.select("rep").distinct(), "named")
     sets = scratch.write(_sets(docs, named, words, id_col, text_col), "sets", "none")
@@ -239,10 +252,10 @@ def near_duplicates(
     sizes = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_ = sizes.groupBy("region").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "n").alias("main")).where("comps > 1").select("region", "main")
     rest = meeting_blocks(placed.join(open_, "region").withColumn("still", F.col("comp") == F.col("main")), "region", "rep", 2 * region, still="still").join(signs, "rep").select(*cols)
-    more = scratch.write(_pairs(rest, floor, False).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    with_sets = rest.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(*cols, "shingles")
+    more = scratch.write(_pairs(with_sets, floor, percent).distinct(), "more-links")
     if not more.isEmpty():
-        links = links.unionByName(_confirm(more, sets, percent))
-        roots = scratch.write(components(links, scratch), "all-roots")
+        roots = scratch.write(components(links.unionByName(more), scratch), "all-roots")
     scratch.drop(sets, signs)
     of_class = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("found"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("k1")).alias("k1"), "k2").join(of_class, ["k1", "k2"], "left")
