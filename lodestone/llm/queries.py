@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, iso_media, line_crf, line_suffixes, minhash_forest, spherical_caps, string_kernel, token_planes
+from . import byte_bpe, iso_media, label_shards, line_crf, line_suffixes, minhash_forest, spherical_caps, string_kernel, token_planes
 
 QUERIES = {
     "op1_token_planes": token_planes.op1_token_planes,
+    "op2_label_shards": label_shards.op2_label_shards,
     "op3_minhash_forest": minhash_forest.op3_minhash_forest,
     "op4_iso_media": iso_media.op4_iso_media,
     "op5_line_crf": line_crf.op5_line_crf,
