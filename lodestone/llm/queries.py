@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, iso_media, label_shards, line_crf, line_suffixes, minhash_forest, spherical_caps, string_kernel, token_planes
+from . import byte_bpe, iso_media, label_shards, line_crf, line_suffixes, minhash_forest, mixing, spherical_caps, string_kernel, token_planes
 
 QUERIES = {
     "op1_token_planes": token_planes.op1_token_planes,
@@ -13,9 +13,11 @@ QUERIES = {
     "op6_line_suffixes": line_suffixes.op6_line_suffixes,
     "op7_spherical_caps": spherical_caps.op7_spherical_caps,
     "op8_pair_index_bpe": byte_bpe.op8_pair_index_bpe,
+    "op9_budget_tree": mixing.op9_budget_tree,
     "op10_string_kernel": string_kernel.op10_string_kernel,
 }
 
 ORACLES: dict[str, str] = {
     "op6_line_suffixes": line_suffixes.OP6_SQL,
+    "op9_budget_tree": mixing.OP9_SQL,
 }
