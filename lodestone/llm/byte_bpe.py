@@ -246,23 +246,27 @@ def encode_decode(docs: DataFrame, tokenizer_path: str = f"{TOKENIZER_FOLDER}/by
     return src.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, tokenizer_path: str = f"{TOKENIZER_FOLDER}/byte_bpe_50k.json", *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest(docs: DataFrame, tokenizer_path: str = f"{TOKENIZER_FOLDER}/byte_bpe_50k.json", *, id_col: str = "doc_id", text_col: str = "text", ids_too: bool = False) -> DataFrame:
     """Encoding and decoding of every text, told by digests made beside the ids: the ids
-    themselves never leave the worker. Null texts as in ``encode_decode``."""
+    themselves leave the worker only with ``ids_too``. Null texts as in ``encode_decode``."""
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw in blocks(batches, 1):
+        for batch, raw in blocks(batches, 1, BLOCK // 4 if ids_too else BLOCK):
             coder = bpe(tokenizer_path)
             ids = coder.encode([t.decode() for t in raw])
-            yield pa.RecordBatch.from_arrays([
+            cols = [
                 batch.column(0),
                 pa.array([len(x) for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(np.ascontiguousarray(x, dtype="<u4").data).hexdigest() for x in ids], pa.string()),
                 pa.array([hashlib.sha256(coder.decode_bytes(x)).hexdigest() for x in ids], pa.string()),
-            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ]
+            if ids_too:
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
-    return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids_too)
 
 
 def op8_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,22 @@ def score(docs: DataFrame, field: LineField, *, id_col: str = "doc_id", text_col
     return src.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, field: LineField, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all their columns. No
+    exchange; null texts count as empty."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    src = docs.toDF(*names)
+    src = src.withColumn("_text", text_bytes(src, names[docs.columns.index(text_col)]))
+    sent = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _ in blocks(batches, len(names), 4 << 20, values=False):
+            good = sent.value.score(*arrow_bytes(batch.column(len(names)))) >= threshold
+            yield batch.filter(pa.array(good)).select(names)
+
+    return src.mapInArrow(run, docs.toDF(*names).schema).toDF(*docs.columns)
+
+
 def label_lines(docs: DataFrame, field: LineField, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, good, n_bytes): the marginal of every line, for reading what the field saw."""
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("text"))
