@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import TOKENIZER_FOLDER, table, text_bytes
 from .token_planes import Numbered, gather, slices
@@ -232,7 +233,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str = f"{TOKENIZER_FOLDER}/by
     ones are replaced. Rows stay where they are: there is no exchange."""
     keep = [c for c in docs.columns if c not in (out, "decoded")]
     src = docs.select(text_bytes(docs, text_col).alias("_text"), *[docs[c] for c in keep])
-    schema = docs.select(*keep).schema.add(out, "array<int>").add("decoded", "string")
+    schema = docs.select(*keep).schema.add(out, ArrayType(IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in blocks(batches, 0):

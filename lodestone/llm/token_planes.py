@@ -55,7 +55,7 @@ def from_planes(planes: np.ndarray, n: int, kind: str) -> np.ndarray:
     if kind == "byte":
         return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
     bits = np.unpackbits(planes, axis=1, count=n, bitorder="little").T
-    return np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1)
+    return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view("<u4").reshape(-1)
 
 
 class PlaneWriter:
@@ -200,7 +200,7 @@ class WordIds:
         for w in words:
             if w.isalpha() and w.isascii() or w.decode().isalpha():
                 letters.append(w)
-            elif w[-1:] in END_IDS and w[:-1].decode().isalpha():
+            elif w[-1:] in END_IDS and w[:-1].decode().lower().isalpha():  # some capitals become a letter and a mark
                 ended.append(w)
             else:
                 rest.append(w)
