@@ -63,6 +63,9 @@ def _quotas(asked: list, load: dict, room: float, shards: int) -> dict[tuple[int
     """What share of the moves to each shard is let through at each gain. Leaving rows make room
     for coming ones, so shares are found from full flow down in a few passes."""
     share = {(r["to"], r["step"]): 1.0 for r in asked}
+    wanted = dict.fromkeys(share, 0)
+    for r in asked:
+        wanted[r["to"], r["step"]] += r["n"]
     for _ in range(20):
         leaving = {s: 0.0 for s in range(shards)}
         for r in asked:
@@ -71,8 +74,7 @@ def _quotas(asked: list, load: dict, room: float, shards: int) -> dict[tuple[int
         for to in range(shards):
             free = max(0.0, room - load.get(to, 0) + leaving[to] * 0.95)
             for step in range(GAINS, 0, -1):
-                want = sum(r["n"] for r in asked if r["to"] == to and r["step"] == step)
-                if want:
+                if want := wanted.get((to, step), 0):
                     part = min(1.0, free / want)
                     free = max(0.0, free - want)
                     changed |= abs(part - share[to, step]) > 1e-3

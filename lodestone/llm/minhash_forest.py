@@ -265,3 +265,26 @@ def near_duplicates(
 
 def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+#: By pairs of documents that share a shingle, and all that can be reached over links.
+OP3_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g from d
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), shared as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all
+), links as (
+  select x, y from shared join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)
+), reach as (
+  select doc_id as x, doc_id as y from n union select r.x, l.y from reach r join links l on l.x = r.y
+), least as (
+  select x, min(y) as component_id from reach group by x
+)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(component_id, d.doc_id) as component_id, coalesce(component_id, d.doc_id) = d.doc_id as kept
+from d left join n on n.doc_id = d.doc_id left join least on least.x = d.doc_id
+"""

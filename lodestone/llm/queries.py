@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_minhash_forest": minhash_forest.OP3_SQL,
     "op6_line_suffixes": line_suffixes.OP6_SQL,
+    "op7_spherical_caps": spherical_caps.OP7_SQL,
     "op9_budget_tree": mixing.OP9_SQL,
 }

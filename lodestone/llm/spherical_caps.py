@@ -183,3 +183,24 @@ def _counts(members: DataFrame, cosine: float) -> DataFrame:
 
 def op7_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: By all pairs.
+OP7_SQL = """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+), good as (
+  select * from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as x, b.vec_id as y from good a join good b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) >= 0.95 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))
+), reach as (
+  select vec_id as x, vec_id as y from v union select r.x, l.y from reach r join links l on l.x = r.y
+), least as (
+  select x, min(y) as component_id from reach group by x
+), counts as (
+  select x, count(*) as n from links group by x
+)
+select v.vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, component_id = v.vec_id as kept
+from v join least on least.x = v.vec_id left join counts on counts.x = v.vec_id
+"""
