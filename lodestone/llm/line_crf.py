@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import blocks
 from .common import table, text_bytes
 from .labelled import held_out, logistic, probability, training_texts
+from .token_planes import slices
 from .words import LOWER, arrow_bytes, span_hashes, word_spans
 
 #: Kinds of bytes that are counted.
@@ -158,17 +159,17 @@ def train(texts: list[tuple[bytes, int]], *, rounds: int = 200, ridge: float = 1
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return LineField(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0.0]))
-    data = np.frombuffer(b"".join(t for t, _ in texts), np.uint8)
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t, _ in texts])))
-    x, size, first = features(data, offsets)
-    label = np.repeat(y, np.diff(first))
+    parts = [features(*joined) for joined in _joined([t for t, _ in texts])]
+    x = np.concatenate([x for x, _, _ in parts])
+    n = np.concatenate([np.diff(first) for _, _, first in parts])
+    first = np.concatenate(([0], np.cumsum(n)))
+    label = np.repeat(y, n)
     center, spread = x.mean(axis=0), x.std(axis=0)
     center[-3], spread[-3] = 0, 1
     spread[spread < 1e-6] = 1
     z = (x - center) / spread
     chains = Chains(first)
     told = np.zeros((2, 2))  # transitions as labelled: lines of a document agree
-    n = np.diff(first)
     told[1, 1], told[0, 0] = ((n - 1) * y).sum(), ((n - 1) * (1 - y)).sum()
     theta, m, v = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
     for k in range(1, rounds + 1):
@@ -177,7 +178,14 @@ def train(texts: list[tuple[bytes, int]], *, rounds: int = 200, ridge: float = 1
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     field = LineField(center, spread, theta[:width], theta[width:].reshape(2, 2), np.zeros(2))
-    return LineField(center, spread, field.weights, field.trans, logistic(field.summary(data, offsets)[:, None], y))
+    seen = np.concatenate([field.summary(*joined) for joined in _joined([t for t, _ in texts])])
+    return LineField(center, spread, field.weights, field.trans, logistic(seen[:, None], y))
+
+
+def _joined(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts one after the other, about ``most`` bytes at once, and where each begins."""
+    for s in slices(np.array([len(t) for t in texts]), most):
+        yield np.frombuffer(b"".join(texts[s]), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts[s]])))
 
 
 def score(docs: DataFrame, field: LineField, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -17,6 +17,7 @@ as its triples, whatever the number of landmarks.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,6 +41,8 @@ GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 #: Longer words are cut in pieces of so many characters that overlap by half.
 LONGEST = 48
 CACHE_WORDS = 500_000
+#: Documents of each label that the machine is trained on, at most.
+SAMPLE = 1500
 SENTENCE = regex.compile(r"[.!?\n]+\s*")
 #: Single characters in a row, as of a word whose letters stand apart.
 APART = regex.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
@@ -89,8 +92,8 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
     dense[rt, rw] = rv
     scale = np.sqrt(np.bincount(rw, rv * rv, len(right)))
     dense /= np.where(scale > 0, scale, 1).astype(np.float32)
-    for at in range(0, len(left), 2000):
-        some = left[at : at + 2000]
+    for at in range(0, len(left), 400):
+        some = left[at : at + 400]
         lw, lt, lv = triples(*fold(some))
         scale = np.sqrt(np.bincount(lw, lv * lv, len(some)))
         first = np.flatnonzero(np.concatenate(([True], lw[1:] != lw[:-1]))) if len(lw) else np.empty(0, np.int64)
@@ -142,6 +145,12 @@ class KernelMachine:
         return probability(self.calibration, worst[:, None])
 
 
+def _mapped(words: list[str], marks: list[str], root: np.ndarray) -> np.ndarray:
+    """Nyström features of words, in single precision, some thousand words at once."""
+    parts = [(kernel(words[k : k + 4000], marks) @ root).astype(np.float32) for k in range(0, len(words), 4000)]
+    return np.concatenate(parts) if parts else np.empty((0, root.shape[1]), np.float32)
+
+
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
     """Weights with the bias last, by Newton steps on the examples inside the margin."""
     z = np.column_stack([x, -np.ones(len(x))]).astype(np.float64)
@@ -166,7 +175,7 @@ def train(texts: list[tuple[bytes, int]], *, landmarks: int = 160, rounds: int =
     bags: list[list[list[str]]] = []  # documents, sentences, words
     for raw, _ in texts:
         text = raw.decode("utf-8", "replace").lower()
-        bags.append([list(dict.fromkeys(p for w in units(s) for p in pieces(w) if len(p) > 2)) for s in SENTENCE.split(text)])
+        bags.append([list(dict.fromkeys(sys.intern(p) for w in units(s) for p in pieces(w) if len(p) > 2)) for s in SENTENCE.split(text)])
     y = np.array([label for _, label in texts], float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
@@ -201,10 +210,10 @@ def train(texts: list[tuple[bytes, int]], *, landmarks: int = 160, rounds: int =
     keep = value > 1e-4
     root = vector[:, keep] / np.sqrt(value[keep])
     negative = list(dict.fromkeys(frequent + clean))
-    xn = kernel(negative, marks) @ root
+    xn = _mapped(negative, marks, root)
     only_bad = sorted(bad)
     number = {w: k for k, w in enumerate(only_bad)}
-    xp = kernel(only_bad, marks) @ root
+    xp = _mapped(only_bad, marks, root)
     docs_bad = [sorted({number[w] for s in doc for w in s if w in number}) for doc, label in zip(bags, y) if label]
     strength = np.array([np.sqrt(bad[w]) for w in only_bad])
     witness = {number[w] for w in seeds} or set(range(len(only_bad)))
@@ -265,5 +274,5 @@ def score(docs: DataFrame, machine: KernelMachine, *, id_col: str = "doc_id", te
 
 def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    machine = train(training_texts(docs, labels, "toxic", 2000, 10))
+    machine = train(training_texts(docs, labels, "toxic", SAMPLE, 10))
     return score(docs, machine).withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "score", "predicted")
