@@ -2,14 +2,16 @@
 
 Documents with equal shingle sets are one class. Each class's signature is put in several orders;
 in each order, classes whose signatures begin alike are candidates: they stand together when that
-order is sorted, with a longest common prefix of ``least`` values or more. A region (a shared
-prefix) of more classes than ``region`` is entered deeper, value by value, down to ``most``.
+order is sorted, with a longest common prefix of ``least`` values or more, however many classes
+share it.
 
 Candidates pass when the signatures' agreement is not far below the threshold. Passing pairs are
-confirmed on the full shingle sets, in two rounds: first the best spanning forest of each region;
-then, in regions that still hold several components, every passing pair between components, on
-the spot. So a group of thousands of copies costs as many checks as it has members, no link is
-lost, and no round hands on more pairs than rows.
+confirmed on the full shingle sets, in two rounds: first the best spanning forest of each region,
+where a region (a shared prefix) of more classes than ``region`` is entered deeper, value by
+value; then, in regions of ``least`` values that still hold several components, every passing
+pair between components, on the spot. So a group of thousands of copies costs as many checks as
+it has members, no link between candidates is lost, and no round hands on more pairs than rows.
+What isn't joined in a large region meets all of it: that costs the product of the two.
 """
 
 from __future__ import annotations
@@ -129,11 +131,12 @@ def _prefixes(signs: DataFrame, least: int) -> DataFrame:
     return signs.select("rep", "sign").mapInArrow(run, "rep long, " + ", ".join(f"{n} long" for n in names))
 
 
-def _regions(prefixes: DataFrame, least: int, region: int, scratch: Scratch) -> DataFrame:
-    """(region, rep): of each order the shallowest prefix that at most ``region`` classes share
-    (at full depth any number), where two share it at least. Regions with the same members
-    count once."""
-    out = None
+def _regions(prefixes: DataFrame, least: int, region: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(region, rep) twice. First of each order the shallowest prefix that at most ``region``
+    classes share (at full depth any number), where two share it at least; then all prefixes of
+    ``least`` values that two share at least, at any size. Regions with the same members count
+    once."""
+    out = whole = None
     here = prefixes
     for d in range(least, DEPTH + 1):
         counts = here.groupBy(f"p{d}").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -141,12 +144,18 @@ def _regions(prefixes: DataFrame, least: int, region: int, scratch: Scratch) ->
         small = met if d == DEPTH else met.where(f"_n <= {region}")
         small = small.select(F.col(f"p{d}").alias("region"), "rep")
         out = small if out is None else out.unionByName(small)
+        whole = met.select(F.col(f"p{d}").alias("region"), "rep") if whole is None else whole
         here = met.where(f"_n > {region}").drop("_n")
         if d == DEPTH or here.isEmpty():
             break
-    same = out.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").bitwiseAND(0xFFFFFFFFFF)).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("x"))
-    first = same.groupBy("n", "s", "x").agg(F.min("region").alias("region")).select("region")
-    return scratch.write(out.join(first, "region", "left_semi"), "regions")
+
+    def once(rows: DataFrame, tag: str) -> DataFrame:
+        same = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").bitwiseAND(0xFFFFFFFFFF)).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("x"))
+        first = same.groupBy("n", "s", "x").agg(F.min("region").alias("region")).select("region")
+        return scratch.write(rows.join(first, "region", "left_semi"), tag)
+
+    near = once(out, "regions")
+    return near, near if d == least < DEPTH else once(whole, "whole-regions")
 
 
 def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -239,16 +248,16 @@ def near_duplicates(
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.write(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     signs = scratch.write(full.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "sign"), "signs")
-    regions = _regions(_prefixes(signs, least), least, region, scratch)
+    regions, whole = _regions(_prefixes(signs, least), least, region, scratch)
     blocks_ = meeting_blocks(regions, "region", "rep", 2 * region, chain=True)
     cols = ["block", "rep", "comp", "chunk", "pure", "sign"]
     first = _pairs(blocks_.join(signs, "rep").withColumn("comp", F.col("rep")).select(*cols), floor, None).distinct()
     pairs = scratch.write(first, "pairs")
-    named = scratch.write(regions.select("rep").distinct(), "named")
+    named = scratch.write(whole.select("rep").distinct(), "named")
     sets = scratch.write(_sets(docs, named, words, id_col, text_col), "sets", "none")
     links = scratch.write(_confirm(pairs, sets, percent), "links")
     roots = scratch.write(components(links, scratch), "roots")
-    placed = regions.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("region", "rep", F.coalesce("root", "rep").alias("comp"))
+    placed = whole.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("region", "rep", F.coalesce("root", "rep").alias("comp"))
     sizes = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_ = sizes.groupBy("region").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "n").alias("main")).where("comps > 1").select("region", "main")
     rest = meeting_blocks(placed.join(open_, "region").withColumn("still", F.col("comp") == F.col("main")), "region", "rep", 2 * region, still="still").join(signs, "rep").select(*cols)

@@ -81,3 +81,14 @@ def test_empty_and_repeated(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     same = spark.createDataFrame([(5, "a b c d e f g")] * 3 + [(5, "h i j k l m n"), (7, "a b c d e f g")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(same).collect()) == [(5, 5)] * 4 + [(7, 5)]
+
+
+def test_hot_template(spark):
+    """Each copy is linked with the base alone, at the threshold (355 of 443 shingles), and all
+    share prefixes: no link may hang on how many do."""
+    base = [f"w{k}" for k in range(402)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 360):
+        rows.append((k, " ".join(base[:k] + [f"x{k}y{j}" for j in range(41)] + base[k + 41 :])))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4, region=16).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(k, 0) for k, _ in rows}
