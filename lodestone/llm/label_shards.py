@@ -26,18 +26,21 @@ GAINS = 16
 def propagate(units: DataFrame, links: DataFrame, shards: int, *, rounds: int = 4, slack: float = 0.02, scratch: Scratch) -> DataFrame:
     """(unit, n, shard). units: (unit, n), n its rows; links: (unit, hub). Units without links
     keep their first shard, a hash. No shard gets more than its even share and ``slack``."""
-    # A hub of very many units is cut by a hash, so that no key of the joins grows with the corpus.
-    degrees = links.groupBy("hub").agg(F.count(F.lit(1)).alias("deg")).where("deg > 1")
-    edges = scratch.write(links.join(degrees, "hub").select("unit", F.xxhash64("hub", F.pmod(F.xxhash64(F.lit(1), "unit"), F.ceil(F.col("deg") / 1000))).alias("hub")), "edges")
+    # Links of a hub of very many units are salted, so that no key of the join that brings its
+    # spread back grows with the corpus; the spread itself is of all its units.
+    degrees = links.groupBy("hub").agg(F.count(F.lit(1)).alias("deg")).where("deg > 1").select("hub", F.ceil(F.col("deg") / 1000).alias("salts"))
+    edges = scratch.write(links.join(degrees, "hub").select("unit", "hub", "salts", F.pmod(F.xxhash64(F.lit(1), "unit"), F.col("salts")).alias("salt")), "edges")
     now = scratch.write(units.select("unit", "n", F.pmod(F.xxhash64(F.lit(2), "unit"), F.lit(shards)).cast("int").alias("shard")), "shards0")
     total = units.agg(F.sum("n")).first()[0] or 0
     room = total / shards * (1 + slack)
     for k in range(1, rounds + 1):
         placed = edges.join(now, "unit")
         # What of a hub lies in each shard, its own share taken off: at most ``shards`` rows a hub.
-        spread = placed.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("m"))
-        of_hub = spread.groupBy("hub").agg(F.sum("m").alias("all"), F.map_from_entries(F.collect_list(F.struct("shard", "m"))).alias("spread")).where("all > 1")
-        votes = edges.join(of_hub, "hub").select("unit", F.explode("spread").alias("to", "m"), "all").groupBy("unit", "to").agg(F.sum(F.col("m") / (F.col("all") - 1)).alias("vote"))
+        salted = placed.groupBy("hub", "salts", "salt", "shard").agg(F.count(F.lit(1)).alias("m"))
+        spread = salted.groupBy("hub", "salts", "shard").agg(F.sum("m").alias("m"))
+        of_hub = spread.groupBy("hub", "salts").agg(F.sum("m").alias("all"), F.map_from_entries(F.collect_list(F.struct("shard", "m"))).alias("spread")).where("all > 1")
+        to_salts = of_hub.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "all", "spread")
+        votes = edges.drop("salts").join(to_salts, ["hub", "salt"]).select("unit", F.explode("spread").alias("to", "m"), "all").groupBy("unit", "to").agg(F.sum(F.col("m") / (F.col("all") - 1)).alias("vote"))
         own = votes.join(now, "unit")
         best = own.groupBy("unit", "n", "shard").agg(
             F.max(F.struct(F.when(F.col("to") != F.col("shard"), F.col("vote")).alias("vote"), F.xxhash64("unit", "to").alias("tie"), "to")).alias("best"),

@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from lodestone.llm.label_shards import shard_documents
+from lodestone.llm.common import Scratch
+from lodestone.llm.label_shards import propagate, shard_documents
 
 
 def check(rows, got, shards):
@@ -47,3 +48,12 @@ def test_links_and_hot_groups(spark):
         by_theme[t][place[k]] += 1
     together = sum(max(c.values()) for c in by_theme.values()) / len(owner)
     assert together > 0.6  # by chance it is below 0.3
+
+
+def test_large_hub_votes_whole(spark):
+    """A hub of more than 1000 units: all its units are drawn to one shard, which has the room."""
+    units = spark.range(2500).selectExpr("id as unit", "1L as n").unionByName(spark.sql("select 9999L as unit, 20000L as n"))
+    links = spark.range(2500).selectExpr("id as unit", "7L as hub")
+    got = propagate(units, links, 4, scratch=Scratch(spark, "test-hub"))
+    shares = Counter(r["shard"] for r in got.where("unit < 2500").collect())
+    assert max(shares.values()) > 0.9 * 2500  # in three parts, each has a target of its own
