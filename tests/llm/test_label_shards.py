@@ -57,3 +57,18 @@ def test_large_hub_votes_whole(spark):
     got = propagate(units, links, 4, scratch=Scratch(spark, "test-hub"))
     shares = Counter(r["shard"] for r in got.where("unit < 2500").collect())
     assert max(shares.values()) > 0.9 * 2500  # in three parts, each has a target of its own
+
+
+def test_group_that_a_shard_can_hold(spark):
+    """A group of half a shard stays in one; a cut group draws what shares its lines."""
+    line = "a line that the copies share with others, long enough to be a link"
+    rows = [(k, "copies that fill half of a shard, whole") for k in range(500)]
+    rows += [(k, f"{line}\ncopies for two shards and a half") for k in range(500, 3000)]
+    rows += [(k, f"{line}\nown line {k}") for k in range(3000, 3300)] + [(k, f"alone {k}") for k in range(3300, 8000)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).collect()
+    check(rows, got, 8)
+    place = {r["doc_id"]: r["shard"] for r in got}
+    assert len({place[k] for k in range(500)}) == 1
+    copies = Counter(place[k] for k in range(500, 3000))
+    assert len(copies) <= 5  # three units, no scatter over the shards
+    assert sum(place[k] in copies for k in range(3000, 3300)) > 200
