@@ -17,7 +17,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Large-star and small-star rounds until no edge changes; the number of rounds grows with the
     logarithm of the graph. Each round is written, so that lost executors cost a reread. Edges of
-    a hot node are aggregated before they meet; joins on it are left to skew handling."""
+    a hot node are aggregated before they meet; what they then join is written first, so that
+    skew handling can split the join."""
     now = scratch.write(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v != m").distinct(), "edges")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -25,21 +26,23 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         smaller neighbours do, and itself."""
         if large:
             both = e.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(e.select(F.col("m").alias("u"), F.col("v").alias("w")))
-            least = both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m"))
+            least = scratch.write(both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
             out = both.where("w > u").join(least, "u").select(F.col("w").alias("v"), "m")
         else:
-            least = e.groupBy(F.col("v").alias("u")).agg(F.min("m").alias("least"))
+            least = scratch.write(e.groupBy(F.col("v").alias("u")).agg(F.min("m").alias("least")), "least")
             near = e.select(F.col("v").alias("u"), F.col("m").alias("w")).join(least, "u")
             out = near.where("w != least").select(F.col("w").alias("v"), F.col("least").alias("m")).unionByName(least.select(F.col("u").alias("v"), F.col("least").alias("m")))
-        return out.where("v != m").distinct()
+        out = scratch.write(out.where("v != m").distinct(), "star")
+        scratch.drop(least)
+        return out
 
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "m")), F.sum(F.xxhash64("m", "v") % 1_000_003)).first()
 
     seen = mark(now)
     while seen[0]:
-        half = scratch.write(star(now, True), "large-star")
-        then = scratch.write(star(half, False), "small-star")
+        half = star(now, True)
+        then = star(half, False)
         scratch.drop(now, half)
         now, before, seen = then, seen, mark(then)
         if seen == before:

@@ -1,22 +1,30 @@
 """Near-duplicates by an LSH forest over MinHash signatures.
 
-Documents with equal shingle sets are one class. Each class's signature is put in several orders;
-in each order, classes whose signatures begin alike are candidates: they stand together when that
-order is sorted, with a longest common prefix of ``least`` values or more, however many classes
-share it.
-
-Candidates pass when the signatures' agreement is not far below the threshold. Passing pairs are
-confirmed on the full shingle sets, in two rounds: first the best spanning forest of each region,
-where a region (a shared prefix) of more classes than ``region`` is entered deeper, value by
-value; then, in regions of ``least`` values that still hold several components, every passing
-pair between components, on the spot. So a group of thousands of copies costs as many checks as
-it has members, no link between candidates is lost, and no round hands on more pairs than rows.
-What isn't joined in a large region meets all of it: that costs the product of the two.
+Documents with equal shingle sets are one class. Each class's signature is put in several orders,
+and each order is sorted: classes that stand together there share a longest common prefix, and
+those that share ``least`` values or more are candidates. ``forest_shape`` sets how many values
+and orders are needed, so that a pair at the threshold shares a prefix in some order with the same
+probability at every size of the corpus.
+
+How deep a region (the classes of one prefix of ``least`` values) is entered depends on how many
+classes share it. In a region of at most ``region`` classes all meet. In a larger one the sorted
+order is read on by its deeper values: a class meets the ``region / 2`` that follow, its
+neighbours of longest common prefix. Candidates whose signatures agree well enough give at most a
+spanning forest of a small region and the three best neighbours of a class of a large one; these
+pairs are confirmed on the full shingle sets.
+
+What that leaves apart is settled exactly. In small regions every pair of different components is
+confirmed on the spot. Members of large regions that hold several components are joined by the
+rarest shingles of their sets: two sets of similarity s share one of the first
+n - ceil(s n) + 1 of n, put in any one order for all, and here shingles that occur in no other
+component come first and the rest by their frequency. So classes that share a template, however many,
+never meet over its shingles if they hold enough of their own, and no link is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +32,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import blocks
-from .common import Scratch, table, text_bytes
+from .common import Scratch, table, text_bytes, width
 from .graph import Forest, by_block, components, meeting_blocks
 from .words import arrow_bytes, mix, shingles
 
-#: Values of a signature; orders; values of an order's key.
-VALUES, ORDERS, DEPTH = 128, 24, 8
+#: Values of a signature, and of an order's key below the prefix.
+VALUES, DEEPER = 128, 8
+#: The chance that a pair at the threshold shares no prefix in any order; the similarity that
+#: documents without anything in common are taken to have, at most.
+MISS, NOISE = 3.3e-6, 0.05
+
+
+def forest_shape(classes: int, threshold: float, region: int = 64) -> tuple[int, int]:
+    """(values of a prefix, orders): prefixes so long that no more than ``region`` unrelated
+    classes share one by chance, and so many orders that a pair at the threshold is missed with
+    probability ``MISS``. Four values and 24 orders up to ten million classes at 0.8."""
+    least = 4
+    while classes * NOISE**least > region and least < 12:
+        least += 1
+    return least, math.ceil(math.log(MISS) / math.log(1 - threshold**least)) if threshold < 1 else 1
 
 
 def _hash_family(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -37,9 +58,9 @@ def _hash_family(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, VALUES, dtype=np.uint32)
 
 
-def _orders(seed: int = 12) -> np.ndarray:
+def _orders(n: int, depth: int, seed: int = 12) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    return np.stack([rng.permutation(VALUES)[:DEPTH] for _ in range(ORDERS)])
+    return np.stack([rng.permutation(VALUES)[:depth] for _ in range(n)])
 
 
 def signatures(found: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -61,101 +82,103 @@ def signatures(found: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _set_keys(found: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit sums over each set: together its key."""
+    keys = []
+    for x in (found, found ^ np.uint64(0x5851F42D4C957F2D)):
+        total = np.zeros(len(found) + 1, np.uint64)
+        np.cumsum(mix(x), out=total[1:])
+        keys.append(pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)))
+    return keys
+
+
 def _signed(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Each text's shingle count, set key (128 bits) and signature."""
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("text"))
+    """Each text's hash, shingle count, set key and sketch: a byte of each signature value."""
+    src = docs.select(docs[id_col].cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("text"), text_hash(docs[text_col]).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _ in blocks(batches, 1, 2 << 20, values=False):
             found, at = shingles(*arrow_bytes(batch.column(1)), words)
-            keys = []
-            for x in (found, found ^ np.uint64(0x5851F42D4C957F2D)):
-                total = np.zeros(len(found) + 1, np.uint64)
-                np.cumsum(mix(x), out=total[1:])
-                keys.append(pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)))
-            signs = pa.array([s.tobytes() for s in signatures(found, at)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), *keys, signs], ["doc_id", "n_shingles", "k1", "k2", "sign"])
+            signs = pa.array([s.tobytes() for s in signatures(found, at).astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(at), pa.int64()), *_set_keys(found, at), signs], ["doc_id", "t", "n_shingles", "k1", "k2", "sign"])
 
-    return src.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sign binary")
+    return src.mapInArrow(run, "doc_id long, t long, n_shingles long, k1 long, k2 long, sign binary")
 
 
-#: Bits of the map of documents whose sets are needed: a map of 1 MB at any size of the corpus.
-MAP_BITS, MAP_ROW = 1 << 23, 1 << 15
+def text_hash(text):
+    return F.xxhash64(F.lit(8), text)
 
 
-def _sets(docs: DataFrame, named: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, shingles) of the named documents and a few more, without moving any text: a bit
-    map of hashed ids, built by Spark, tells the scan what to pass over. Where ids outnumber its
-    bits it lets more through, and the joins that follow pass them over."""
+#: Rows of 32768 bits of the map of documents whose sets are needed: at most 32 MB.
+MAP_ROW, MAP_ROWS = 1 << 15, 1 << 13
 
-    def spot(c):
-        return F.pmod(F.xxhash64(F.lit(5), c), F.lit(MAP_BITS))
 
-    rows = named.select(spot(F.col("rep")).alias("s")).groupBy(F.expr(f"s div {MAP_ROW}").alias("row")).agg(F.expr(f"bitmap_construct_agg(s % {MAP_ROW})").alias("bits")).collect()
-    bits = np.zeros(MAP_BITS // 8, np.uint8)
-    for r in rows:
-        bits[r["row"] * MAP_ROW // 8 : (r["row"] + 1) * MAP_ROW // 8] = np.frombuffer(r["bits"], np.uint8)
-    there = docs.sparkSession.sparkContext.broadcast(bits)
+def _sets(docs: DataFrame, named: DataFrame, n: int, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, k1, k2, shingles) of the ``n`` named documents (rep) and a few more, without
+    moving any text: a bit map of hashed ids, built by Spark and 16 times as long as the ids are
+    many, tells the scan what to pass over. Where the largest map would let too much through, a
+    join does it."""
     doc_id = docs[id_col].cast("long")
-    src = docs.select(doc_id.alias("doc_id"), text_bytes(docs, text_col).alias("text"), spot(doc_id).alias("s"))
+    rows = 1 << max(0, (16 * n - 1).bit_length() - 15)
+    wanted = None
+    if rows <= MAP_ROWS:
+        spot = F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(rows * MAP_ROW))
+        bits = np.zeros(rows * MAP_ROW // 8, np.uint8)
+        parts = named.select(spot.alias("s")).groupBy(F.expr(f"s div {MAP_ROW}").alias("row")).agg(F.expr(f"bitmap_construct_agg(s % {MAP_ROW})").alias("bits"))
+        for r in parts.toLocalIterator():
+            bits[r["row"] * MAP_ROW // 8 : (r["row"] + 1) * MAP_ROW // 8] = np.frombuffer(r["bits"], np.uint8)
+        wanted = docs.sparkSession.sparkContext.broadcast(bits)
+        src = docs.select(doc_id.alias("doc_id"), text_bytes(docs, text_col).alias("text"), F.pmod(F.xxhash64(F.lit(5), doc_id), F.lit(rows * MAP_ROW)).alias("s"))
+    else:
+        src = docs.select(doc_id.alias("doc_id"), text_bytes(docs, text_col).alias("text"), F.lit(0).cast("long").alias("s")).join(named.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = batch.column(2).to_numpy()
-            wanted = batch.filter(pa.array((there.value[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)))
-            for some, _ in blocks(iter([wanted]), 1, 2 << 20, values=False):
+            if wanted is not None:
+                s = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((wanted.value[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)))
+            for some, _ in blocks(iter([batch]), 1, 2 << 20, values=False):
                 found, at = shingles(*arrow_bytes(some.column(1)), words)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([found[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "shingles"])
+                sets = pa.array([found[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column(0), *_set_keys(found, at), sets], ["doc_id", "k1", "k2", "shingles"])
 
-    return src.mapInArrow(run, "doc_id long, shingles binary").where("doc_id is not null")
+    return src.mapInArrow(run, "doc_id long, k1 long, k2 long, shingles binary").where("doc_id is not null")
 
 
-def _prefixes(signs: DataFrame, least: int) -> DataFrame:
-    """(rep, p4, p5, ...): hashes of each order's prefixes of each length, the order included."""
-    orders, seeds = _orders(), mix(np.arange(1, ORDERS + 1, dtype=np.uint64))
-    names = [f"p{d}" for d in range(least, DEPTH + 1)]
+def _keys(signs: DataFrame, least: int, orders: int) -> DataFrame:
+    """(prefix, deep, rep) of every order: a hash of the order and its first ``least`` values, and
+    the values below as bytes that sort as they come."""
+    places, seeds = _orders(orders, least + DEEPER), mix(np.arange(1, orders + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sign = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, VALUES)
-            key = np.broadcast_to(seeds, (len(sign), ORDERS)).copy()
-            cols = [pa.array(np.repeat(batch.column(0).to_numpy(), ORDERS))]
-            for d in range(DEPTH):
-                key = mix(key * np.uint64(0xD6E8FEB86659FD93) + sign[:, orders[:, d]])
-                if d + 1 >= least:
-                    cols.append(pa.array(key.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(cols, ["rep", *names])
-
-    return signs.select("rep", "sign").mapInArrow(run, "rep long, " + ", ".join(f"{n} long" for n in names))
-
-
-def _regions(prefixes: DataFrame, least: int, region: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(region, rep) twice. First of each order the shallowest prefix that at most ``region``
-    classes share (at full depth any number), where two share it at least; then all prefixes of
-    ``least`` values that two share at least, at any size. Regions with the same members count
-    once."""
-    out = whole = None
-    here = prefixes
-    for d in range(least, DEPTH + 1):
-        counts = here.groupBy(f"p{d}").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        met = scratch.write(here.join(counts, f"p{d}"), f"depth{d}")
-        small = met if d == DEPTH else met.where(f"_n <= {region}")
-        small = small.select(F.col(f"p{d}").alias("region"), "rep")
-        out = small if out is None else out.unionByName(small)
-        whole = met.select(F.col(f"p{d}").alias("region"), "rep") if whole is None else whole
-        here = met.where(f"_n > {region}").drop("_n")
-        if d == DEPTH or here.isEmpty():
-            break
-
-    def once(rows: DataFrame, tag: str) -> DataFrame:
-        same = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").bitwiseAND(0xFFFFFFFFFF)).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("x"))
-        first = same.groupBy("n", "s", "x").agg(F.min("region").alias("region")).select("region")
-        return scratch.write(rows.join(first, "region", "left_semi"), tag)
-
-    near = once(out, "regions")
-    return near, near if d == least < DEPTH else once(whole, "whole-regions")
+            sign = _sketches(batch.column(1))
+            key = np.broadcast_to(seeds, (len(sign), orders)).copy()
+            for d in range(least):
+                key = mix(key * np.uint64(0xD6E8FEB86659FD93) + sign[:, places[:, d]])
+            deep = np.ascontiguousarray(sign[:, places[:, least:]]).reshape(-1, DEEPER)
+            deep = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DEEPER), len(deep), [None, pa.py_buffer(deep)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), deep, pa.array(np.repeat(batch.column(0).to_numpy(), orders))], ["prefix", "deep", "rep"])
+
+    return signs.select("rep", "sign").mapInArrow(run, "prefix long, deep binary, rep long")
+
+
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, VALUES)
+
+
+def _regions(signs: DataFrame, least: int, orders: int, region: int, scratch: Scratch) -> DataFrame:
+    """(prefix, deep, rep, large): the members of every region of two classes or more, of small
+    regions with the same members one alone."""
+    counts = _keys(signs, least, orders).select("prefix").groupBy("prefix").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    met = scratch.write(_keys(signs, least, orders).join(counts, "prefix"), "keys")
+    small = met.where(f"_n <= {region}")
+    same = small.groupBy("prefix").agg(F.max("_n").alias("n"), F.sum(F.xxhash64("rep").bitwiseAND(0xFFFFFFFFFF)).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("x"))
+    again = same.groupBy("n", "s", "x").agg(F.min("prefix").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    other = same.join(again, ["n", "s", "x"]).where("prefix != first").select("prefix")
+    return scratch.write(met.join(other, "prefix", "left_anti").select("prefix", "deep", "rep", (F.col("_n") > region).alias("large")), "regions")
 
 
 def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -167,48 +190,167 @@ def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * n >= percent * (len(p) + len(q) - n)
 
 
-def _pairs(rows: DataFrame, floor: float, percent: int | None) -> DataFrame:
-    """Pairs (a, b), a < b, of blocks of (block, rep, comp, chunk, pure, sign) whose signatures
-    agree in ``floor`` of the values or more: of each block a spanning forest of the best
-    agreements. With ``percent``, rows also bring their shingles: then every pair between
-    components is confirmed on the sets at once, unless links found before it in the block have
-    joined its components, and the links are returned."""
+def _met(t: pa.Table, a: int, b: int, floor: float, sign: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i < j of a block from a on that are of different components and whose sketches agree
+    in ``floor`` or more, with the agreement."""
+    s = sign[a:b]
+    i, j = np.triu_indices(b - a, 1)
+    ok = comp[a:b][i] != comp[a:b][j]
+    i, j = i[ok], j[ok]
+    agree = np.empty(len(i), np.float32)
+    for k in range(0, len(i), 20_000):
+        agree[k : k + 20_000] = (s[i[k : k + 20_000]] == s[j[k : k + 20_000]]).mean(axis=1)
+    ok = agree >= floor
+    return i[ok], j[ok], agree[ok]
+
+
+def _small(rows: DataFrame, floor: float) -> DataFrame:
+    """Pairs (a, b) of small regions (prefix, rep, comp, sign): of each a spanning forest of the
+    best agreements."""
 
     def work(t: pa.Table, cuts: np.ndarray) -> pa.Table:
-        names = t.column_names
-        rep, comp, chunk, pure = (t.column(names.index(c)).to_numpy() for c in ("rep", "comp", "chunk", "pure"))
-        sign = np.frombuffer(b"".join(t.column(names.index("sign")).to_pylist()), np.uint32).reshape(-1, VALUES)
-        sets = [np.frombuffer(x, np.uint64) for x in t.column(names.index("shingles")).to_pylist()] if percent else []
+        rep, comp, sign = t.column("rep").to_numpy(), t.column("comp").to_numpy(), _sketches(t.column("sign"))
         left, right = [], []
         for a, b in zip(cuts[:-1], cuts[1:]):
-            if b - a < 2:
-                continue
-            s, n = sign[a:b], b - a
-            i, j = np.triu_indices(n, 1)
-            ok = comp[a:b][i] != comp[a:b][j]
-            ok &= pure[a:b][i] | (chunk[a:b][i] != chunk[a:b][j])
-            i, j = i[ok], j[ok]
-            agree = np.empty(len(i), np.float32)
-            for k in range(0, len(i), 20_000):
-                agree[k : k + 20_000] = (s[i[k : k + 20_000]] == s[j[k : k + 20_000]]).mean(axis=1)
-            ok = agree >= floor
-            i, j, agree = i[ok], j[ok], agree[ok]
-            if len(i):
-                of = np.unique(comp[a:b], return_inverse=True)[1].tolist()
-                forest, keep = Forest(n), []
-                for k in np.argsort(-agree, kind="stable").tolist():
-                    x, y = of[i[k]], of[j[k]]
-                    if forest.root(x) != forest.root(y) and (percent is None or _similar(sets[a + i[k]], sets[a + j[k]], percent)):
-                        forest.join(x, y)
-                        keep.append(k)
-                i, j = i[keep], j[keep]
-            left.append(rep[a:b][i])
-            right.append(rep[a:b][j])
-        x = np.concatenate(left) if left else np.empty(0, np.int64)
-        y = np.concatenate(right) if right else np.empty(0, np.int64)
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return by_block(rows, "block", "a long, b long", work)
+            i, j, agree = _met(t, a, b, floor, sign, comp)
+            forest = Forest(b - a)
+            keep = [k for k in np.argsort(-agree, kind="stable").tolist() if forest.join(int(i[k]), int(j[k]))]
+            left.append(rep[a:b][i[keep]])
+            right.append(rep[a:b][j[keep]])
+        return _ordered(np.concatenate(left), np.concatenate(right))
+
+    return by_block(rows.select("prefix", "rep", "comp", "sign"), "prefix", "a long, b long", work)
+
+
+def _ordered(x: np.ndarray, y: np.ndarray) -> pa.Table:
+    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+
+def _large(rows: DataFrame, floor: float, reach: int) -> DataFrame:
+    """Pairs (a, b) from the sorted orders of large regions (prefix, deep, rep, sign): each class
+    meets the ``reach`` classes that follow it and share its prefix; of every class the three best
+    agreements that any order shows go on. What a border between partitions keeps apart is
+    settled with the rest of the region."""
+    order = ["prefix", "deep", "rep"]
+    sorted_ = rows.select(*order, "sign").repartitionByRange(width(rows.sparkSession), *order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefix, rep, sign = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, VALUES), np.uint8)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                fresh = len(rep)
+                prefix, rep = np.concatenate([prefix, some.column(0).to_numpy()]), np.concatenate([rep, some.column(2).to_numpy()])
+                sign = np.concatenate([sign, _sketches(some.column(3))])
+                a_, b_, agree = [], [], []
+                for step in range(1, min(reach, len(rep) - 1) + 1):
+                    j = np.arange(max(fresh, step), len(rep))
+                    j = j[prefix[j] == prefix[j - step]]
+                    if not len(j):
+                        break  # sorted: nothing farther off shares a prefix either
+                    share = (sign[j] == sign[j - step]).mean(axis=1)
+                    ok = share >= floor
+                    a_.append(rep[j - step][ok])
+                    b_.append(rep[j][ok])
+                    agree.append(share[ok])
+                if a_:
+                    x, y, share = np.concatenate(a_), np.concatenate(b_), np.concatenate(agree)
+                    best = np.lexsort((-share, y))
+                    best = best[_ranks(y[best]) < 3]
+                    yield pa.RecordBatch.from_arrays([pa.array(y[best]), pa.array(x[best]), pa.array(share[best].astype(np.float32))], ["rep", "near", "agree"])
+                prefix, rep, sign = prefix[-reach:], rep[-reach:], sign[-reach:]
+
+    found = sorted_.mapInArrow(run, "rep long, near long, agree float")
+    best = found.groupBy("rep").agg(F.collect_set(F.struct("agree", "near")).alias("all"))  # three an order at most
+    pairs = best.select("rep", F.explode(F.slice(F.sort_array("all", asc=False), 1, 3).getField("near")).alias("near"))
+    return pairs.select(F.least("rep", "near").alias("a"), F.greatest("rep", "near").alias("b"))
+
+
+def _ranks(groups: np.ndarray) -> np.ndarray:
+    """Of sorted groups each row's number in its group, from 0."""
+    begin = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.empty(0, int)
+    return np.arange(len(groups)) - np.repeat(begin, np.diff(np.append(begin, len(groups))))
+
+
+def _rest_of_small(placed: DataFrame, sets: DataFrame, floor: float, percent: int) -> DataFrame:
+    """Links between different components of small regions (prefix, rep, comp, sign): every pair
+    that agrees well enough is confirmed on the sets, unless links found before it in the region
+    have joined its components."""
+
+    def involved(t: pa.Table, cuts: np.ndarray) -> pa.Table:
+        comp, sign = t.column("comp").to_numpy(), _sketches(t.column("sign"))
+        rows = [np.empty(0, np.int64)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            i, j, _ = _met(t, a, b, floor, sign, comp)
+            rows.append(a + np.unique(np.concatenate([i, j])))
+        return t.take(pa.array(np.concatenate(rows).astype(np.int64)))
+
+    def work(t: pa.Table, cuts: np.ndarray) -> pa.Table:
+        rep, comp, sign = t.column("rep").to_numpy(), t.column("comp").to_numpy(), _sketches(t.column("sign"))
+        sets_ = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        left, right = [], []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            i, j, agree = _met(t, a, b, floor, sign, comp)
+            of = np.unique(comp[a:b], return_inverse=True)[1].tolist()
+            forest = Forest(b - a)
+            for k in np.argsort(-agree, kind="stable").tolist():
+                x, y = of[i[k]], of[j[k]]
+                if forest.root(x) != forest.root(y) and _similar(sets_[a + i[k]], sets_[a + j[k]], percent):
+                    forest.join(x, y)
+                    left.append(rep[a + i[k]])
+                    right.append(rep[a + j[k]])
+        return _ordered(np.array(left, np.int64), np.array(right, np.int64))
+
+    lean = by_block(placed.select("prefix", "rep", "comp", "sign"), "prefix", "prefix long, rep long, comp long, sign binary", involved)
+    return by_block(lean.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("prefix", "rep", "comp", "sign", "shingles"), "prefix", "a long, b long", work).distinct()
+
+
+def _rare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(g, rep, n, pos, weak) of members (rep, comp): the shingles over which a set of n can meet
+    one of another component, and their places in the order of all. Two rows that are ``weak``
+    can't belong to a link: too little of either set stands behind the place."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                raw = some.column(2).to_pylist()
+                n = np.array([len(x) // 8 for x in raw], np.int64)
+                row = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), some.column(0).take(row), some.column(1).take(row), pa.array(np.repeat(n, n))], ["g", "rep", "comp", "n"])
+
+    rows = members.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "comp", "shingles").mapInArrow(explode, "g long, rep long, comp long, n long")
+    common = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("f")).where("lo < hi").select("g", "f")
+    held = rows.join(common, "g").groupBy("rep", "n").agg(F.sort_array(F.collect_set(F.struct("f", "g"))).alias("s"))  # at most a document's own set
+    need = F.expr(f"(n * {percent} + 99) div 100")
+    early = held.where(F.size("s") >= need).select("rep", "n", F.size("s").alias("m"), F.posexplode(F.slice("s", F.lit(1), (F.size("s") - need + 1).cast("int"))).alias("k", "t"))
+    placed = early.select("t.g", "rep", "n", (F.col("n") - F.col("m") + F.col("k")).alias("pos"))
+    return placed.withColumn("weak", F.expr(f"(n - pos) * {100 + percent} < 2 * n * {percent}"))
+
+
+def _over_rare(rows: DataFrame, percent: int, most: int, all_: bool) -> DataFrame:
+    """Pairs (a, b) of rows (g, rep, comp, n, pos, weak) that meet in a shingle and may be links:
+    all of them, or of any two components in a block the one that stands foremost."""
+    dealt = meeting_blocks(rows, "g", "rep", most, still="weak").select("block", "rep", "comp", "n", "pos", "chunk", "pure")
+
+    def work(t: pa.Table, cuts: np.ndarray) -> pa.Table:
+        rep, comp, n, pos, chunk, pure = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "pos", "chunk", "pure"))
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            for i in range(a, b - 1):
+                j = np.arange(i + 1, b)
+                behind = np.minimum(n[i] - pos[i], n[j] - pos[j])
+                ok = (comp[j] != comp[i]) & (behind * (100 + percent) >= (n[i] + n[j]) * percent) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                j = j[ok & (pure[j] | (chunk[j] != chunk[i]))]
+                if not all_ and len(j):
+                    j = j[np.argsort(pos[j], kind="stable")]
+                    j = j[np.unique(comp[j], return_index=True)[1]]
+                left.append(np.full(len(j), rep[i]))
+                right.append(rep[j])
+        x, y = np.concatenate(left), np.concatenate(right)
+        return _ordered(x, y)
+
+    return by_block(dealt, "block", "a long, b long", work).distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,9 +368,88 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def _joined(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) with more links: only the roots that they join are looked at."""
+    if roots is None:
+        return scratch.write(components(links, scratch), "roots")
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    lifted = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = scratch.write(components(lifted, scratch), "moved").select(F.col("node").alias("root"), F.col("root").alias("to"))
+    known = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    fresh = moved.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
+    return scratch.write(known.unionByName(fresh), "roots")
+
+
+def similar_classes(signs: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame], *, percent: int, region: int, slack: float, scratch: Scratch) -> DataFrame:
+    """(node, root) of classes that link with another. signs: (rep, sign); sets_of: the shingles
+    (doc_id, shingles) of so many classes (rep), of which it may give more or one repeatedly."""
+    floor = percent / 100 - slack
+    least, orders = forest_shape(signs.count(), percent / 100, region)
+    regions = _regions(signs, least, orders, region, scratch)
+    met = scratch.write(regions.join(signs, "rep").withColumn("comp", F.col("rep")), "met")
+    pairs = scratch.write(_small(met.where("not large"), floor).unionByName(_large(met.where("large"), floor, region // 2)).distinct(), "pairs")
+    # Whose sets are needed: candidates that passed, and members of large regions.
+    named = scratch.write(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(regions.where("large").select("rep")).distinct(), "named")
+    sets = scratch.write(sets_of(named, named.count()), "sets", "none")
+    roots = _joined(None, scratch.write(_confirm(pairs, sets, percent), "links"), scratch)
+
+    def placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.drop("comp").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
+
+    here = scratch.write(placed(met.drop("deep", "sign"), roots), "placed")
+    apart = here.groupBy("prefix").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("prefix")
+    open_ = scratch.write(here.join(apart, "prefix", "left_semi"), "apart")
+    links = _rest_of_small(open_.where("not large").join(signs, "rep"), sets, floor, percent)
+    rare = scratch.write(_rare(open_.where("large").select("rep", "comp").distinct(), sets, percent), "rare")
+    first = scratch.write(_over_rare(placed(rare, roots), percent, 1024, False), "foremost")
+    more = scratch.write(links.unionByName(_confirm(first, sets, percent)).distinct(), "more-links")
+    if not more.isEmpty():
+        roots = _joined(roots, more, scratch)
+    last = scratch.write(_over_rare(placed(rare, roots), percent, 1024, True).join(first, ["a", "b"], "left_anti"), "others")
+    if not last.isEmpty():
+        more = scratch.write(_confirm(last, sets, percent), "last-links")
+        if not more.isEmpty():
+            roots = _joined(roots, more, scratch)
+    scratch.drop(met, sets, here, open_, rare)
+    return roots
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, region: int, slack: float, scratch: Scratch) -> DataFrame:
+    """(doc_id, t, n_shingles, root, component_id) of every row: t is a hash of its text; rows of
+    one root are linked. Root and component are null without shingles or id."""
+    signed = scratch.write(_signed(docs, words, id_col, text_col), "signatures")
+    full = signed.where("n_shingles > 0 and doc_id is not null")
+    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"))
+    # A class's node is its least id. An id that stands over several sets tells none of them:
+    # classes of such ids have a hash of the set for a node.
+    key = F.struct("k1", "k2")
+    mixed = scratch.write(full.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a != b").select(F.col("doc_id").alias("low"), F.lit(True).alias("mixed")), "mixed-ids")
+    unmixed = mixed.isEmpty()
+    own = classes.withColumn("node", F.col("low")) if unmixed else classes.join(mixed, "low", "left").withColumn("node", F.when(F.col("mixed"), F.xxhash64("k1", "k2")).otherwise(F.col("low"))).drop("mixed")
+    classes = scratch.write(own.select("k1", "k2", "low", "node"), "classes")
+    first = classes.select("k1", "k2", F.col("low").alias("doc_id"), F.col("node").alias("rep"))
+    signs = scratch.write(full.select("k1", "k2", "doc_id", "sign").join(first, ["k1", "k2", "doc_id"]).groupBy("rep").agg(F.first("sign").alias("sign")), "signs")
+
+    def sets_of(named: DataFrame, n: int) -> DataFrame:
+        if unmixed:
+            return _sets(docs, named, n, words, id_col, text_col).select("doc_id", "shingles")
+        ids = first.join(named, "rep", "left_semi").select(F.col("doc_id").alias("rep")).distinct()
+        found = _sets(docs, ids, n, words, id_col, text_col).join(first, ["k1", "k2", "doc_id"])
+        return found.select(F.col("rep").alias("doc_id"), "shingles")
+
+    roots = similar_classes(signs, sets_of, percent=percent, region=region, slack=slack, scratch=scratch)
+    scratch.drop(signs)
+    placed = classes.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed.withColumn("component_id", F.col("root")) if unmixed else placed.join(placed.groupBy("root").agg(F.min("low").alias("component_id")), "root")
+    of_class = least.select("k1", "k2", "root", "component_id")
+    # Rows without shingles or id get a key that no class has.
+    there = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return signed.select("doc_id", "t", "n_shingles", F.when(there, F.col("k1")).alias("k1"), "k2").join(of_class, ["k1", "k2"], "left").select("doc_id", "t", "n_shingles", "root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-    least: int = 4, region: int = 64, slack: float = 0.15,
+    region: int = 64, slack: float = 0.15,
 ) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (least id reachable by links), kept.
 
@@ -239,37 +460,34 @@ def near_duplicates(
     and is kept. Rows that share an id are judged each by its own text. Only id and text are
     read, so other columns may have any names. An empty table gives an empty result.
 
-    slack: how far below the threshold two signatures may agree (of 128 values) and still be
+    slack: how far below the threshold two sketches may agree (of 128 values) and still be
     checked on full sets; 0.15 is more than four standard deviations."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash-forest")
-    floor = percent / 100 - slack
-    signed = scratch.write(_signed(docs, words, id_col, text_col), "signatures")
-    full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.write(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    signs = scratch.write(full.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "sign"), "signs")
-    regions, whole = _regions(_prefixes(signs, least), least, region, scratch)
-    blocks_ = meeting_blocks(regions, "region", "rep", 2 * region, chain=True)
-    cols = ["block", "rep", "comp", "chunk", "pure", "sign"]
-    first = _pairs(blocks_.join(signs, "rep").withColumn("comp", F.col("rep")).select(*cols), floor, None).distinct()
-    pairs = scratch.write(first, "pairs")
-    named = scratch.write(whole.select("rep").distinct(), "named")
-    sets = scratch.write(_sets(docs, named, words, id_col, text_col), "sets", "none")
-    links = scratch.write(_confirm(pairs, sets, percent), "links")
-    roots = scratch.write(components(links, scratch), "roots")
-    placed = whole.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("region", "rep", F.coalesce("root", "rep").alias("comp"))
-    sizes = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
-    open_ = sizes.groupBy("region").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "n").alias("main")).where("comps > 1").select("region", "main")
-    rest = meeting_blocks(placed.join(open_, "region").withColumn("still", F.col("comp") == F.col("main")), "region", "rep", 2 * region, still="still").join(signs, "rep").select(*cols)
-    with_sets = rest.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(*cols, "shingles")
-    more = scratch.write(_pairs(with_sets, floor, percent).distinct(), "more-links")
-    if not more.isEmpty():
-        roots = scratch.write(components(links.unionByName(more), scratch), "all-roots")
-    scratch.drop(sets, signs)
-    of_class = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("found"))
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("k1")).alias("k1"), "k2").join(of_class, ["k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = _grouped(docs, id_col, text_col, words, percent, region, slack, Scratch(docs.sparkSession, "minhash-forest"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
+    region: int = 64, slack: float = 0.15,
+) -> DataFrame:
+    """The rows of ``docs``, all their columns, of each group of linked documents (see
+    ``near_duplicates``) one alone: that of the least id, among rows of that id the one whose
+    text's hash is least, and of rows equal in id and text any one. Rows without words or id
+    stay. A row is told by its id and text, so that rows which share an id fare each by its own
+    text."""
+    scratch = Scratch(docs.sparkSession, "minhash-forest")
+    found = _grouped(docs, id_col, text_col, words, percent, region, slack, scratch).where("root is not null")
+    rows = scratch.write(found.groupBy("root", "doc_id", "t").agg(F.count(F.lit(1)).alias("times")), "rows")
+    stays = rows.groupBy("root").agg(F.min(F.struct("doc_id", "t", "times")).alias("k")).select("root", "k.*")
+    gone = rows.join(stays.select("root", F.col("doc_id").alias("d"), F.col("t").alias("h")), "root").where("doc_id != d or t != h").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"))
+    again = scratch.write(stays.where("times > 1").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")), "again")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    keyed = docs.toDF(*names).withColumn("_d", F.col(names[docs.columns.index(id_col)]).cast("long")).withColumn("_t", text_hash(F.col(names[docs.columns.index(text_col)])))
+    left = keyed.join(scratch.write(gone, "gone"), ["_d", "_t"], "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, ["_d", "_t"], "left_anti").unionByName(left.join(again, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]))
+    return left.select(*names).toDF(*docs.columns)
 
 
 def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
