@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import blocks
 from .common import table, text_bytes
-from .labelled import held_out, logistic, probability, training_texts
+from .labelled import held_out, logistic, probability, training_sample
 from .token_planes import slices
 from .words import LOWER, arrow_bytes, span_hashes, word_spans
 
@@ -151,9 +151,9 @@ class LineField:
         return probability(self.calibration, self.summary(data, offsets)[:, None]) if len(offsets) > 1 else np.empty(0)
 
 
-def train(texts: list[tuple[bytes, int]], *, rounds: int = 200, ridge: float = 1e-4, rate: float = 0.08) -> LineField:
-    """Fits the field on labelled texts by gradient steps with momenta on the whole sample. Without
-    texts of both labels every score is the share of good ones (a half where there are none)."""
+def train(texts: list[tuple[bytes, int]], *, shares: tuple[int, int] | None = None, rounds: int = 200, ridge: float = 1e-4, rate: float = 0.08) -> LineField:
+    """Fits the field on labelled texts by gradient steps with momenta on the whole sample. shares:
+    how many documents of label 0 and 1 there are in all, if the texts don't show it. Without texts of both labels every score is the share of good ones (a half where there are none)."""
     y = np.array([label for _, label in texts], float)
     width = 3 * OWN + 3
     if not len(y) or y.min() == y.max():
@@ -179,7 +179,7 @@ def train(texts: list[tuple[bytes, int]], *, rounds: int = 200, ridge: float = 1
         theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     field = LineField(center, spread, theta[:width], theta[width:].reshape(2, 2), np.zeros(2))
     seen = np.concatenate([field.summary(*joined) for joined in _joined([t for t, _ in texts])])
-    return LineField(center, spread, field.weights, field.trans, logistic(seen[:, None], y))
+    return LineField(center, spread, field.weights, field.trans, logistic(seen[:, None], y, shares))
 
 
 def _joined(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -239,7 +239,8 @@ SAMPLE = 2000
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> LineField:
-    return train(training_texts(docs, labels, "quality", SAMPLE, 5))
+    sample = training_sample(labels, "quality", SAMPLE, 5)
+    return train(sample.texts(docs), shares=sample.shares)
 
 
 def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from lodestone.llm import line_crf, string_kernel
-from lodestone.llm.labelled import training_texts
+from lodestone.llm.common import Scratch
+from lodestone.llm.labelled import logistic, probability, training_sample
 
 
 def test_lines():
@@ -76,7 +77,7 @@ def test_training_without_both_labels(texts):
 
 def plain_kernel(s, t):
     def weights(w):
-        out = {}
+        out, w = {}, f"^{w}^"
         for i, j, k in itertools.combinations(range(len(w)), 3):
             if k - i < string_kernel.SPAN:
                 out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + string_kernel.DECAY ** (k - i + 1)
@@ -122,7 +123,73 @@ def test_training_sample_leaves_out_what_is_held_out(spark):
 
     docs = spark.createDataFrame([(k, f"t{k}") for k in range(200)] + [(None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(1, None), (None, 1), (999, 1)], "doc_id long, quality int")
-    found = training_texts(docs, labels, "quality", 1000, 1)
-    assert sorted(int(t[1:]) for t, _ in found) == [k for k in range(200) if zlib.crc32(str(k).encode()) % 5]
+    whole = training_sample(labels, "quality", 1000, 1)
+    found, learnable = whole.texts(docs), [k for k in range(200) if zlib.crc32(str(k).encode()) % 5]
+    assert sorted(int(t[1:]) for t, _ in found) == learnable
     assert all(int(t[1:]) % 2 == y for t, y in found)
-    assert len(training_texts(docs, labels, "quality", 10, 1)) == 20
+    assert whole.shares == (sum(k % 2 == 0 for k in learnable), sum(k % 2 for k in learnable) + (zlib.crc32(b"999") % 5 > 0))
+    few = training_sample(labels, "quality", 10, 1)
+    assert len(few.texts(docs)) == 20 and few.shares == whole.shares
+    assert training_sample(labels.limit(0), "quality", 10, 1).texts(docs) == []
+
+
+def test_scores_of_a_sample_with_other_shares():
+    """A balanced sample gives the scores that the whole population gives."""
+    rng = np.random.default_rng(1)
+    y = (rng.random(40_000) < 0.1).astype(float)
+    x = (rng.standard_normal(len(y)) + 2 * y)[:, None]
+    some = np.concatenate([np.flatnonzero(y == 1)[:2000], np.flatnonzero(y == 0)[:2000]])
+    whole, part = logistic(x, y), logistic(x[some], y[some], (int((y == 0).sum()), int((y == 1).sum())))
+    at = np.linspace(-3, 5, 50)[:, None]
+    assert np.abs(probability(whole, at) - probability(part, at)).max() < 0.03
+
+
+def inflected(rng, n):
+    """Texts in two tongues: one's insults are words, the other's are a stem with an ending; the
+    stem alone, and insults inside of other words, are clean."""
+    ends = ["er", "ig", "ou", "an", "st", "et", "ul", "om", "ed", "in"]
+    out = []
+    for k in range(n):
+        toxic, tongue = k % 6 == 0, k % 4 > 1
+        words = ["".join(rng.choice(["bra", "lek", "mun", "tor", "vis", "gul", "pen", "dro"]) for _ in range(rng.randrange(1, 4))) for _ in range(40)]
+        if tongue:
+            words += ["sklomp"] * rng.randrange(2) + (["sklomp" + rng.choice(ends) for _ in range(3)] if toxic else [])
+        else:
+            words += ["embrawumpusing"] * (k % 10 == 0) + ([rng.choice(["wumpus", "grobnik"])] if toxic else [])
+        rng.shuffle(words)
+        out.append((". ".join(" ".join(words[a : a + 8]) for a in range(0, len(words), 8)).encode(), int(toxic)))
+    return out
+
+
+def test_endings_borders_and_inserted_characters():
+    rng = random.Random(8)
+    machine = string_kernel.train(inflected(rng, 900))
+    scorer, test = string_kernel.Scorer(machine), inflected(rng, 300)
+    got = machine.score(scorer.worst([t for t, _ in test])) >= 0.5
+    assert sum(g == y for g, (_, y) in zip(got, test)) >= 296
+    odd = [b"lek wum.pus tor", b"w u m p u s", b"vis wumxpus", b"gr-ob-nik lek", b"sklompig", b"WUMPUS"]
+    assert (machine.score(scorer.worst(odd)) >= 0.5).all()
+    assert not (machine.score(scorer.worst([b"sklomp lek", b"embrawumpusing", b"", b"bra mun"])) >= 0.5).any()
+
+
+def test_toxicity_by_spark(spark, tmp_path):
+    """The fit through Spark on labelled rows, with repeated rows, nulls and clashing columns."""
+    import zlib
+
+    rng = random.Random(9)
+    rows = inflected(rng, 700)
+    docs = spark.createDataFrame([(k, t.decode(), 7, "x") for k, (t, _) in enumerate(rows)] + [(3, rows[3][0].decode(), 7, "x"), (None, None, 7, "x"), (9000, None, 7, "x")], "doc_id long, text string, score int, window string")
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)] + [(None, 1), (9000, None)], "doc_id long, toxic int")
+    machine = string_kernel.fit(docs, labels)
+    got = {r["doc_id"]: r["predicted"] for r in string_kernel.score(docs, machine).collect()}
+    held = [k for k in range(700) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert sum(got[k] == rows[k][1] for k in held) >= 0.97 * len(held)
+    assert got[9000] == 0
+    for r in string_kernel.label_sentences(docs.where("doc_id < 30"), machine).collect():
+        text = rows[r["doc_id"]][0].decode()
+        assert r["window"].strip(".") in text[r["start"] :].split(". ")[0] and r["score"] > 0
+    counted, plain = string_kernel.count_windows(docs, training_sample(labels, "toxic", 20_000, 1), Scratch(spark, "test")), string_kernel.tally([t for k, t in enumerate(rows) if k not in held] + [rows[3]] * (3 not in held))
+    assert sorted(counted.toxic) == sorted(plain.toxic) and dict(counted.clean) == dict(plain.clean)  # fewer than the bounds
+    assert string_kernel.score(docs.limit(0), machine).collect() == []
+    empty = string_kernel.fit(docs.limit(0), labels.limit(0))
+    assert {r["score"] for r in string_kernel.score(docs, empty).collect()} == {0.5}
