@@ -8,7 +8,13 @@ pass; what meets is verified in double precision.
 
 Some vectors pass few filters of one code; so there are several codes, each behind a rotation of
 its own. The number of filters grows with the number of vectors and the height of the caps with
-it, so that a vector passes about ``passes`` of each code's filters at every size.
+it, so that a vector passes about ``passes`` of each code's filters at every size. Codebooks are
+drawn from a seed where they are needed, and don't travel.
+
+What goes through the filters is a vector in whole bytes with the length of what the rounding
+left over. By it an inner product is known up to a bound: pairs above are links, pairs below are
+none, and only those in between, unless other links have joined them by then, are verified on the
+vectors themselves.
 """
 
 from __future__ import annotations
@@ -50,24 +56,20 @@ def list_decode(x: np.ndarray, books: list[np.ndarray], height: float) -> tuple[
     """All (row, filter) whose direction (u, v) / sqrt(2) has an inner product of ``height`` or
     more with the unit row."""
     turn, first, second = books
+    if not len(x):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     x, half = x @ turn, first.shape[1]
     left, right = x[:, :half] @ first.T, x[:, half:] @ second.T
-    bar = height * math.sqrt(2)
-    rows, filters = [], []
-    words = len(first)
-    top = right.max(axis=1)
-    for k in range(len(x)):
-        u = np.flatnonzero(left[k] + top[k] >= bar)
-        order = np.argsort(-right[k], kind="stable")
-        n = np.searchsorted(-right[k][order], left[k][u] - bar, side="right")
-        total = int(n.sum())
-        if total:
-            within = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-            filters.append(np.repeat(u, n) * words + order[within])
-            rows.append(np.full(total, k))
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(rows), np.concatenate(filters)
+    bar, words = height * math.sqrt(2), len(first)
+    order = np.argsort(-right, axis=1, kind="stable")
+    falling = -np.take_along_axis(right, order, axis=1)
+    # One sorted list of all rows: each row's products, which lie in -1 to 1, moved to its own place.
+    row, u = np.nonzero(left - falling[:, :1] >= bar)
+    n = np.searchsorted((falling + 4.0 * np.arange(len(x))[:, None]).reshape(-1), left[row, u] - bar + 4.0 * row, side="right") - row * words
+    n = np.clip(n, 1, words)
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    row, u = np.repeat(row, n), np.repeat(u, n)
+    return row, u * words + order[row, within]
 
 
 def _unit(column) -> np.ndarray:
@@ -111,7 +113,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     links = None
     for r in reps.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect():  # one row for each length of vectors
         if r["n"] > 1:
-            found = _links(reps.where(F.col("bytes") == r["bytes"]), r["bytes"] // 4, r["n"], cosine, codes, passes)
+            found = _links(reps.where(F.col("bytes") == r["bytes"]), r["bytes"] // 4, r["n"], cosine, codes, passes, scratch)
             links = found if links is None else links.unionByName(found)
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
@@ -125,40 +127,87 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(reps: DataFrame, dim: int, n: int, cosine: float, codes: int, passes: float) -> DataFrame:
-    """Edges (a, b): of each filter's verified pairs a spanning forest."""
+def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit rows as whole bytes: the bytes, their scale, and a bound on the length of what is left
+    over."""
+    scale = np.abs(x).max(axis=1) / 127
+    near = np.rint(x / scale[:, None])
+    return near.astype(np.int8), scale.astype(np.float32), (np.linalg.norm(x - near * scale.astype(np.float32).astype(float)[:, None], axis=1) * (1 + 1e-6) + 1e-9).astype(np.float32)
+
+
+def _links(reps: DataFrame, dim: int, n: int, cosine: float, codes: int, passes: float, scratch: Scratch) -> DataFrame:
+    """Edges (a, b): of each filter's near pairs a spanning forest, and of those that only the
+    vectors tell the ones that are near."""
     words = max(16, math.ceil(math.sqrt(4 * n)))
-    books, height = [codebooks(max(dim, 2), words, 5 + c) for c in range(codes)], cap_height(max(dim, 2), words * words, passes)
+    wide = max(dim, 2)
+    height = cap_height(wide, words * words, passes)
+    kept: dict[int, list[np.ndarray]] = {}  # in each worker
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 x = _unit(some.column(1))
-                x = np.pad(x, ((0, 0), (0, max(0, 2 - dim))))
-                parts = [list_decode(x, b, height) for b in books]
-                row = np.concatenate([r for r, _ in parts])
-                found = np.concatenate([f + c * words * words for c, (_, f) in enumerate(parts)])
-                yield pa.RecordBatch.from_arrays([pa.array(found), some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row))], ["filter", "rep", "v"])
-
-    met = meeting_blocks(reps.select("rep", "v").mapInArrow(decode, "filter long, rep long, v binary"), "filter", "rep", BLOCK)
-
-    def verify(t: pa.Table, cuts: np.ndarray) -> pa.Table:
+                low, scale, over = rounded(x)
+                parts = []
+                for c in range(codes):
+                    if c not in kept:
+                        kept[c] = codebooks(wide, words, 5 + c)
+                    row, found = list_decode(np.pad(x, ((0, 0), (0, wide - dim))), kept[c], height)
+                    parts.append((row, found + c * words * words))
+                row = pa.array(np.concatenate([r for r, _ in parts]))
+                packed = pa.array([a.tobytes() for a in np.concatenate([np.column_stack([scale, over]).astype("<f4").view(np.int8).reshape(len(x), 8), low], axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f for _, f in parts])), some.column(0).take(row), packed.take(row)], ["filter", "rep", "q"])
+
+    def filtered() -> DataFrame:
+        return reps.select("rep", "v").mapInArrow(decode, "filter long, rep long, q binary")
+
+    # Filters of more than a block are few: the rest are blocks as they are, and move once.
+    hot = scratch.write(filtered().select("filter").groupBy("filter").agg(F.count(F.lit(1)).alias("_n")).where(f"_n > {BLOCK}").select("filter"), "hot-filters")
+    cold = filtered().join(hot, "filter", "left_anti").select(F.col("filter").alias("block"), "rep", F.lit(0).alias("chunk"), F.lit(True).alias("pure"), "q")
+    dealt = meeting_blocks(filtered().join(hot, "filter", "left_semi"), "filter", "rep", BLOCK).select("block", "rep", "chunk", "pure", "q")
+
+    def meet(t: pa.Table, cuts: np.ndarray) -> pa.Table:
         rep, pure, chunk = (t.column(c).to_numpy() for c in ("rep", "pure", "chunk"))
-        x = _unit(t.column("v"))
-        a_, b_ = [], []
+        raw = np.frombuffer(b"".join(t.column("q").to_pylist()), np.int8).reshape(len(rep), -1)
+        scale, over = np.ascontiguousarray(raw[:, :8]).view("<f4").astype(float).T
+        low = raw[:, 8:].astype(np.float32)
+        a_, b_, sure = [], [], []
         for a, b in zip(cuts[:-1], cuts[1:]):
-            near = x[a:b] @ x[a:b].T >= cosine
-            i, j = np.nonzero(np.triu(near, 1))
+            if b - a < 2:
+                continue
+            about = (low[a:b] @ low[a:b].T).astype(float) * scale[a:b, None] * scale[None, a:b]
+            # |x.y - about| <= over_x |y'| + over_y |x'| + over_x over_y, and |x'| <= 1 + over_x.
+            off = over[a:b, None] + over[None, a:b] + 3 * over[a:b, None] * over[None, a:b] + 1e-6
+            i, j = np.nonzero(np.triu(about + off >= cosine, 1))
             ok = pure[a:b][i] | (chunk[a:b][i] != chunk[a:b][j])
+            i, j = i[ok], j[ok]
+            certain = about[i, j] - off[i, j] >= cosine
             forest = Forest(b - a)
-            for p, q in zip(i[ok].tolist(), j[ok].tolist()):
-                if forest.join(p, q):
-                    a_.append(rep[a + p])
-                    b_.append(rep[a + q])
-        return pa.table({"a": pa.array(a_, pa.int64()), "b": pa.array(b_, pa.int64())})
+            links = [(p, q) for p, q in zip(i[certain].tolist(), j[certain].tolist()) if forest.join(p, q)]
+            doubt = [(p, q) for p, q in zip(i[~certain].tolist(), j[~certain].tolist()) if forest.root(p) != forest.root(q)]
+            for pairs, is_sure in ((links, True), (doubt, False)):
+                a_ += [rep[a + p] for p, _ in pairs]
+                b_ += [rep[a + q] for _, q in pairs]
+                sure += [is_sure] * len(pairs)
+        x, y = np.array(a_, np.int64), np.array(b_, np.int64)
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "sure": pa.array(sure, pa.bool_())})
+
+    schema = "a long, b long, sure boolean"
+    met = scratch.write(by_block(cold, "block", schema, meet).unionByName(by_block(dealt, "block", schema, meet)).distinct(), "met")
+    sure = met.where("sure").select("a", "b")
+    near = components(sure, scratch).withColumnRenamed("root", "r")
+    doubt = met.where("not sure").join(near.select(F.col("node").alias("a"), F.col("r").alias("ra")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("r").alias("rb")), "b", "left")
+    doubt = doubt.where("ra is null or rb is null or ra != rb").select("a", "b")  # others are joined already
+    vectors = doubt.join(reps.select(F.col("rep").alias("a"), F.col("v").alias("x")), "a").join(reps.select(F.col("rep").alias("b"), F.col("v").alias("y")), "b").select("a", "b", "x", "y")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = (_unit(batch.column(2)) * _unit(batch.column(3))).sum(axis=1) >= cosine
+                yield batch.filter(pa.array(near)).select(["a", "b"])
 
-    return by_block(met.select("block", "rep", "chunk", "pure", "v"), "block", "a long, b long", verify)
+    return sure.unionByName(vectors.mapInArrow(verify, "a long, b long"))
 
 
 def _counts(members: DataFrame, cosine: float) -> DataFrame:

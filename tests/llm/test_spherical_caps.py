@@ -1,9 +1,11 @@
 """Near vectors against all pairs."""
 
+import math
+
 import numpy as np
 import pytest
 
-from lodestone.llm.spherical_caps import cap_height, codebooks, list_decode, near_vectors
+from lodestone.llm.spherical_caps import cap_height, codebooks, list_decode, near_vectors, rounded
 
 
 def brute_force(ids, x, good):
@@ -52,7 +54,56 @@ def test_links_and_components(spark, dim):
     want = brute_force(ids, x.astype(float), good) | {(10_000 + k, 0, 10_000 + k) for k in range(len(bad))}
     found = {(r["vec_id"], r["n_links"], r["component_id"]) for r in got}
     assert len(got) == len(rows) and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
-    assert len(found ^ want) <= (0 if dim == 64 else 6)
+    assert found == want
+
+
+@pytest.mark.parametrize("dim", [64, 768])
+def test_recall_of_the_filters(dim):
+    """Pairs of a cosine of 0.95 to 0.97 that share a filter of some code, at the number of
+    filters that a corpus of 50 000 or 4 million vectors has."""
+    rng = np.random.default_rng(dim)
+    for n in (50_000, 4_000_000):
+        words = math.ceil(math.sqrt(4 * n))
+        for cosine in (0.951, 0.97):
+            x = rng.standard_normal((250, dim))
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            off = rng.standard_normal((250, dim))
+            off -= (off * x).sum(axis=1, keepdims=True) * x
+            y = cosine * x + math.sqrt(1 - cosine**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+            met = np.zeros(len(x), bool)
+            for c in range(5):
+                books, height = codebooks(dim, words, 5 + c), cap_height(dim, words * words, 16.0)
+                (r, f), (r2, f2) = list_decode(x, books, height), list_decode(y, books, height)
+                met[np.unique(np.intersect1d(r * words * words + f, r2 * words * words + f2) // (words * words))] = True
+            assert met.mean() >= 0.99, (n, cosine, met.mean())
+
+
+def test_bounds_of_rounded_vectors():
+    rng = np.random.default_rng(4)
+    for dim in (2, 16, 300):
+        x = rng.standard_normal((60, dim)) * rng.choice([1, 1, 30], dim)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        low, scale, over = rounded(x)
+        about = (low.astype(float) * scale[:, None]) @ (low.astype(float) * scale[:, None]).T
+        off = over[:, None] + over[None] + 3 * over[:, None] * over[None]
+        assert (np.abs(x @ x.T - about) <= off + 1e-6).all()
+
+
+@pytest.mark.parametrize("dim", [64, 256])
+def test_planted_pairs_at_the_threshold(spark, dim):
+    """Pairs planted just above and just below: all of the former, none of the latter."""
+    rng = np.random.default_rng(dim + 1)
+    x = rng.standard_normal((600, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((600, dim))
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = rng.choice([0.949, 0.9501, 0.955, 0.97], 600)
+    y = cosine[:, None] * x + np.sqrt(1 - cosine**2)[:, None] * off
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]).astype(np.float32))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    missed = [k for k in range(600) if cosine[k] >= 0.95 and got[600 + k] != (1, k)]
+    assert [k for k in range(600) if cosine[k] < 0.95 and got[600 + k] != (0, 600 + k)] == [] and missed == []
 
 
 def test_corner_cases(spark):
