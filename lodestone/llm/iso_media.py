@@ -88,6 +88,8 @@ def walk(data, at: int = 0, end: int | None = None, path: str = "") -> Iterator[
         here = f"{path}/{kind.decode('latin-1')}".lstrip("/")
         yield here, at + head, at + size
         if kind in NESTED:
+            if path.count("/") > 16:
+                raise ValueError("boxes are nested too deep")
             yield from walk(data, at + head, at + size, here)
         at += size
 
@@ -124,14 +126,18 @@ def _track(data, boxes: dict[str, tuple[int, int]]) -> Track:
     codec = bytes(data[boxes["stsd"][0] + 12 : boxes["stsd"][0] + 16]).decode("latin-1")
     a, _ = boxes["stsz"]
     one, n = struct.unpack_from(">II", data, a + 4)
+    if n * max(one, 4 * (not one)) > len(data):  # before anything of that size is made
+        raise ValueError("more samples than the file can hold")
     sizes = np.full(n, one, np.int64) if one else rows("stsz", ">u4", 12).astype(np.int64)
     stts = rows("stts", ">u4,>u4")
+    if int(stts["f0"].astype(np.int64).sum()) != n:
+        raise ValueError("sample tables disagree")
     steps = np.repeat(stts["f1"].astype(np.int64), stts["f0"].astype(np.int64))
     chunk_at = (rows("co64", ">u8") if "co64" in boxes else rows("stco", ">u4")).astype(np.int64)
     stsc = rows("stsc", ">u4,>u4,>u4")
     firsts = stsc["f0"].astype(np.int64)
     per = np.repeat(stsc["f1"].astype(np.int64), np.diff(np.append(firsts, len(chunk_at) + 1)))
-    if per.sum() != n or len(steps) != n:
+    if len(per) != len(chunk_at) or per.sum() != n:
         raise ValueError("sample tables disagree")
     chunk = np.repeat(np.arange(len(chunk_at)), per)
     before = np.cumsum(sizes) - sizes
@@ -140,13 +146,18 @@ def _track(data, boxes: dict[str, tuple[int, int]]) -> Track:
     if n and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
         raise ValueError("a sample lies outside the file")
     keys = rows("stss", ">u4").astype(np.int64) - 1 if "stss" in boxes else np.arange(n)
+    if len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise ValueError("a keyframe has no sample")
     return Track(codec, handler, int(scale), int(duration), offsets, sizes, np.cumsum(steps) - steps, keys)
 
 
 def probe(data) -> list[Track]:
-    """The tracks of a file. Raises ValueError for what is no such file."""
+    """The tracks of a file. Raises ValueError for what is no such file, and for files in
+    fragments, whose samples aren't in the tables."""
     tracks: list[dict[str, tuple[int, int]]] = []
     for path, a, b in walk(data):
+        if path == "moof":
+            raise ValueError("a file in fragments")
         if path == "moov/trak":
             tracks.append({})
         elif path.startswith("moov/trak/"):
@@ -177,6 +188,11 @@ def describe(track: Track) -> str:
     })
 
 
+def _facts(t: Track) -> dict:
+    keys = t.key_ranges()
+    return {"codec": t.codec, "handler": t.handler, "duration_s": t.duration / t.timescale if t.timescale else None, "samples": len(t.sizes), "key_offsets": keys[:, 0].tolist(), "key_sizes": keys[:, 1].tolist()}
+
+
 def payload_of(text: bytes) -> bytes:
     return text + b" " * (FRAME - len(text) % FRAME if len(text) % FRAME or not text else 0)
 
@@ -197,12 +213,12 @@ def media_column(docs: DataFrame, *, text_col: str = "text", out: str = "media")
     return src.mapInArrow(run, docs.select(*keep).schema.add(out, "binary"))
 
 
-TRACK_TYPE = "struct<codec:string,handler:string,duration_s:double,samples:long,key_offsets:array<long>,key_sizes:array<long>,error:string>"
+TRACK_TYPE = "struct<tracks:array<struct<codec:string,handler:string,duration_s:double,samples:long,key_offsets:array<long>,key_sizes:array<long>>>,error:string>"
 
 
-def probe_column(media: DataFrame, *, media_col: str = "media", out: str = "track") -> DataFrame:
-    """All columns but the media, and ``track``: the first track of each file. Null media, or
-    bytes that are no such file, give a track with nothing but ``error``."""
+def probe_column(media: DataFrame, *, media_col: str = "media", out: str = "probed") -> DataFrame:
+    """All columns but the media, and ``probed``: the tracks of each file. Null media, bytes that
+    are no such file, and files in fragments give null for tracks and an ``error``."""
     keep = [c for c in media.columns if c not in (out, media_col)]
     src = media.select(F.coalesce(media[media_col], F.lit("").cast("binary")).alias("_media"), *[media[c] for c in keep])
     schema = media.select(*keep).schema.add(out, _type(TRACK_TYPE))
@@ -216,13 +232,11 @@ def probe_column(media: DataFrame, *, media_col: str = "media", out: str = "trac
                 try:
                     if not (tracks := probe(data)):
                         raise ValueError("no track")
-                    t = tracks[0]
-                    keys = t.key_ranges()
-                    found.append({"codec": t.codec, "handler": t.handler, "duration_s": t.duration / t.timescale if t.timescale else None, "samples": len(t.sizes), "key_offsets": keys[:, 0].tolist(), "key_sizes": keys[:, 1].tolist(), "error": None})
+                    found.append({"tracks": [_facts(t) for t in tracks], "error": None})
                 except ValueError as e:
-                    found.append({"error": str(e)})
-            kind = pa.struct([("codec", pa.string()), ("handler", pa.string()), ("duration_s", pa.float64()), ("samples", pa.int64()), ("key_offsets", pa.list_(pa.int64())), ("key_sizes", pa.list_(pa.int64())), ("error", pa.string())])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, kind)], [*keep, out])
+                    found.append({"tracks": None, "error": str(e)})
+            track = pa.struct([("codec", pa.string()), ("handler", pa.string()), ("duration_s", pa.float64()), ("samples", pa.int64()), ("key_offsets", pa.list_(pa.int64())), ("key_sizes", pa.list_(pa.int64()))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.struct([("tracks", pa.list_(track)), ("error", pa.string())]))], [*keep, out])
 
     return src.mapInArrow(run, schema)
 
