@@ -74,8 +74,8 @@ def mix(
     """All columns of ``docs`` and ``mix_epoch``, ``mix_tokens`` (words of the text), and
     ``mix_<level>``: one row for each document and epoch in which the mixture takes it.
 
-    The budget is ``numerator`` / ``denominator`` of all tokens. A null text has no tokens; a null
-    id is ordered as the empty word. Null keys are a child of the name ''. Documents without tokens
+    The budget is ``numerator`` / ``denominator`` of all tokens. A null text has no tokens; rows
+    of a null id are ordered by their texts. Null keys are a child of the name ''. Documents without tokens
     come as their place in the order has it. Rows equal in id and tokens fare alike. Weights are
     whole numbers, 0 for children that get nothing; a leaf's share is rounded down. An empty
     table gives an empty result."""
@@ -84,7 +84,7 @@ def mix(
     keys = [F.expr(x.key).alias(f"mix_{x.name}") for x in levels]
     tokens = F.coalesce(F.expr(f"regexp_count({text_col}, r'{WORD}')"), F.lit(0)).cast("long").alias("mix_tokens")
     keyed = docs.select("*", *keys, tokens)
-    lean = scratch.write(keyed.select(F.col(id_col).alias("id"), *[F.col(f"mix_{n}").alias(n) for n in names], F.col("mix_tokens").alias("tokens")), "keyed")
+    lean = scratch.write(keyed.select(_key(F.col(id_col), F.col(text_col)).alias("id"), *[F.col(f"mix_{n}").alias(n) for n in names], F.col("mix_tokens").alias("tokens")), "keyed")
     leaves = scratch.write(lean.groupBy(*names).agg(F.sum("tokens").alias("have")), "leaves")
     total = leaves.agg(F.sum("have")).first()[0] or 0
     tree = None
@@ -102,7 +102,7 @@ def mix(
     sums = placed.groupBy(*names, "rest", "range").agg(F.sum("tokens").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*names).orderBy("range"))  # RANGES rows a leaf at most
     border = sums.withColumn("upto", upto).where("upto > rest").groupBy(*names).agg(F.min("range").alias("range"), F.min_by(F.col("rest") - F.col("upto") + F.col("n"), "range").alias("left"))
-    near = placed.join(border, [*names, "range"]).select(*names, "h", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "tokens", "left", "range")
+    near = placed.join(border, [*names, "range"]).select(*names, "h", "id", "tokens", "left", "range")
     into = F.sum("tokens").over(Window.partitionBy(*names, "range").orderBy("h", "id", "tokens"))
     last = near.withColumn("into", into).where("into <= left").groupBy(*names).agg(F.max(F.struct("h", "id", "tokens")).alias("last"))
     cut = plan.select(*names, "whole").join(border.select(*names, "range"), names, "left").join(last, names, "left")
@@ -111,8 +111,8 @@ def mix(
     plain = keyed.toDF(*[f"c{k}" for k in range(n_doc)])
     here = [f"c{n_doc - 1 - len(names) + k}" for k in range(len(names))]
     met = plain.join(cut.toDF(*here, "_whole", "_range", "_last"), here)
-    id_ = F.coalesce(F.col(f"c{docs.columns.index(id_col)}").cast("string"), F.lit(""))
-    h = _order(seed, F.col("_whole") + 1, F.col(f"c{docs.columns.index(id_col)}"))
+    id_ = _key(F.col(f"c{docs.columns.index(id_col)}"), F.col(f"c{docs.columns.index(text_col)}"))
+    h = _order(seed, F.col("_whole") + 1, id_)
     mine = F.struct(h.alias("h"), id_.alias("id"), F.col(f"c{n_doc - 1}").alias("tokens"))
     # Without a border nothing of the next epoch is taken; before it every row is, in it up to the last.
     more = F.coalesce((F.conv(F.substring(h, 1, 3), 16, 10).cast("int") < F.col("_range")) | (mine <= F.col("_last")), F.lit(False))
@@ -121,15 +121,21 @@ def mix(
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keyed.columns)], F.col("_e").alias("mix_epoch"))
 
 
-def _order(seed: int, epoch: Column, id_: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_.cast("string"), F.lit(""))).cast("binary"))
+def _key(id_: Column, text: Column) -> Column:
+    """What a row is ordered by: its id, or without one its text, so that rows without ids don't
+    all fall in one range."""
+    return F.coalesce(id_.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _order(seed: int, epoch: Column, key: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), key).cast("binary"))
 
 
 def mix_sql(levels: Sequence[Level], numerator: int, denominator: int, epochs: int, seed: int, docs: str = "documents") -> str:
     """The same for DuckDB, by one window over each leaf."""
     names = [x.name for x in levels]
     keys = ", ".join(f"{x.key.replace('as string)', 'as varchar)')} as {x.name}" for x in levels)
-    parts = [f"""base as (select doc_id, {keys}, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as tokens from {docs})""",
+    parts = [f"""base as (select doc_id, coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))) as key, {keys}, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as tokens from {docs})""",
              f"leaves as (select {', '.join(names)}, sum(tokens) as have from base group by all)"]
     for k, x in enumerate(levels):
         own, up = ", ".join(names[: k + 1]), ", ".join(names[:k])
@@ -143,8 +149,8 @@ c{k} as (select *, cap * onward <= (b - before) * w as is_full from b{k}),
 t{k} as (select {own}, cast(case when is_full then cap else coalesce(((b - coalesce(sum(case when is_full then cap end) over p, 0)) * w) // nullif(sum(case when not is_full then w end) over p, 0), 0) end as bigint) as got from c{k} window p as ({by}))""")
     own = ", ".join(names)
     parts.append(f"plan as (select {own}, cast(coalesce(got // nullif(have, 0), 0) as bigint) as whole, cast(got - coalesce(got // nullif(have, 0), 0) * have as bigint) as rest, have from leaves join t{len(levels) - 1} using ({own}))")
-    parts.append(f"placed as (select base.*, whole, rest, have, md5(concat('{seed}:', whole + 1, ':', coalesce(cast(doc_id as varchar), ''))) as h from base join plan using ({own}))")
-    parts.append(f"summed as (select *, sum(tokens) over (partition by {own} order by h, coalesce(cast(doc_id as varchar), ''), tokens) as upto from placed)")
+    parts.append(f"placed as (select base.*, whole, rest, have, md5(concat('{seed}:', whole + 1, ':', key)) as h from base join plan using ({own}))")
+    parts.append(f"summed as (select *, sum(tokens) over (partition by {own} order by h, key, tokens) as upto from placed)")
     parts.append("times as (select *, whole + case when upto <= rest and have > rest then 1 else 0 end as n from summed)")
     return "with " + ",\n".join(parts) + f"\nselect doc_id, {', '.join(f'{n} as mix_{n}' for n in names)}, tokens as mix_tokens, e as mix_epoch from (select *, unnest(generate_series(1, n)) as e from times)"
 

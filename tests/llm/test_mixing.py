@@ -15,7 +15,7 @@ def rows_of(seed, n):
         source = None if rng.random() < 0.03 else "plain" if rng.random() < 0.05 else "src0" if rng.random() < 0.4 else f"src{rng.randrange(12)}"
         text = None if rng.random() < 0.03 else " ".join("w" for _ in range(rng.choice([0, 1, 5, 30, 400])))
         out.append((k, text, rng.choice(["en", "en", "fr", "xx", None]), source))
-    return out + [(None, "a b c", "en", "src1"), (3, "a b", "en", "src0"), (3, "a b", "en", "src0"), (9999, "w " * 50_000, "de", "src2")]
+    return out + [(None, f"a b c {k}", "en", "src1") for k in range(n // 10)] + [(None, "a b c", "en", "src1"), (3, "a b", "en", "src0"), (3, "a b", "en", "src0"), (9999, "w " * 50_000, "de", "src2")]
 
 
 def test_matches_sql(spark):
