@@ -19,11 +19,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import TOKENIZER_FOLDER, table, text_bytes
+from .common import table, text_bytes, tokenizer_path
 from .token_planes import Numbered, gather, slices
 
 #: White space as the tokenizer's splitter has it, and the splitter's pattern.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+# (Not \s, which takes in U+001C to U+001F as well.)
+SPACE = r"\t-\r\x20\x85\xa0" "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: A space that isn't just followed by a word: such a text is cut the slow way.
 ODD = regex.compile(rf"^ | (?:$|[{SPACE}])")
@@ -210,10 +211,10 @@ class PairIndexBpe:
 _KEPT: dict[str, PairIndexBpe] = {}
 
 
-def bpe(path: str) -> PairIndexBpe:
-    if path not in _KEPT:
-        _KEPT[path] = PairIndexBpe(path)
-    return _KEPT[path]
+def bpe(name: str) -> PairIndexBpe:
+    if name not in _KEPT:
+        _KEPT[name] = PairIndexBpe(tokenizer_path(name))
+    return _KEPT[name]
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK, values: bool = True) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -226,7 +227,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK, va
             yield some, some.column(column).to_pylist() if values else []
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str = f"{TOKENIZER_FOLDER}/byte_bpe_50k.json", *, text_col: str = "text", out: str = "ids") -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", *, text_col: str = "text", out: str = "ids") -> DataFrame:
     """All columns of ``docs``, and ``ids`` (array of int) and ``decoded`` (string).
 
     A null text counts as empty, and gives no ids and an empty text. Columns named like the new
@@ -237,7 +238,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str = f"{TOKENIZER_FOLDER}/by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in blocks(batches, 0):
-            coder = bpe(tokenizer_path)
+            coder = bpe(tokenizer)
             ids = coder.encode([t.decode() for t in raw])
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
@@ -247,14 +248,14 @@ def encode_decode(docs: DataFrame, tokenizer_path: str = f"{TOKENIZER_FOLDER}/by
     return src.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, tokenizer_path: str = f"{TOKENIZER_FOLDER}/byte_bpe_50k.json", *, id_col: str = "doc_id", text_col: str = "text", ids_too: bool = False) -> DataFrame:
+def digest(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", *, id_col: str = "doc_id", text_col: str = "text", ids_too: bool = False) -> DataFrame:
     """Encoding and decoding of every text, told by digests made beside the ids: the ids
     themselves leave the worker only with ``ids_too``. Null texts as in ``encode_decode``."""
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in blocks(batches, 1, BLOCK // 4 if ids_too else BLOCK):
-            coder = bpe(tokenizer_path)
+            coder = bpe(tokenizer)
             ids = coder.encode([t.decode() for t in raw])
             cols = [
                 batch.column(0),

@@ -10,7 +10,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZER_FOLDER = "/opt/tokenizers"
+
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file on this machine, driver or worker; a path stays."""
+    import public_tokenizers
+
+    return name if "/" in name else public_tokenizers.path(name)
 
 
 def shared_dir(spark: SparkSession) -> str:

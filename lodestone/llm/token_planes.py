@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TOKENIZER_FOLDER, Scratch, text_bytes, width
+from .common import Scratch, text_bytes, tokenizer_path, width
 
 MAGIC = b"IDPLANE1"
 #: Words whose ids a worker keeps; beyond it the cache starts anew.
@@ -299,18 +299,26 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
 _KEPT: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(name: str) -> WordIds:
     """This worker's encoder; workers are reused from task to task, and so are its words."""
-    if path not in _KEPT:
-        _KEPT[path] = WordIds(path)
-    return _KEPT[path]
+    if name not in _KEPT:
+        _KEPT[name] = WordIds(tokenizer_path(name))
+    return _KEPT[name]
+
+
+#: A file that holds as many documents or ids is closed, and the task begins another: what is held
+#: for a file's indexes is bounded, however many rows a task has.
+FILE_DOCS, FILE_IDS = 1 << 20, 1 << 28
 
 
 def write_token_planes(
-    docs: DataFrame, out_dir: str, tokenizer_path: str = f"{TOKENIZER_FOLDER}/word_bpe_49k.json", *, end_id: int = 1,
+    docs: DataFrame, out_dir: str, tokenizer: str = "word_bpe_49k.json", *, end_id: int = 1,
     id_col: str = "doc_id", text_col: str = "text", kind: str = "byte", block_ids: int = 1 << 16, files: int | None = None,
+    file_docs: int = FILE_DOCS, file_ids: int = FILE_IDS,
 ) -> DataFrame:
-    """Encode every text, append ``end_id``, write the ids in ascending order of ``id_col``.
+    """Encode every text, append ``end_id``, write the ids in ascending order of ``id_col``, in
+    ``files`` ranges of rows, each in one file or, beyond ``file_docs`` documents or ``file_ids``
+    ids, in several. tokenizer: a public tokenizer's name, or a path that every worker has.
 
     Returns the manifest, one row a file: part, path, n_docs, n_tokens, base (ids in the files
     before it). A null text counts as empty; a null id sorts first; rows that share an id are
@@ -325,23 +333,30 @@ def write_token_planes(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, out, writer, path = TaskContext.get().partitionId(), None, None, None
+        part, out, writer, path = TaskContext.get().partitionId() << 20, None, None, None
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [len(writer.docs)], "n_tokens": [writer.n_ids]})
+
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for some in slices(np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)), 4 << 20):
                 rows = texts.slice(some.start, some.stop - some.start).to_pylist()
-                for doc_id, found in zip(ids[some], word_ids(tokenizer_path).encode(rows)):
+                for doc_id, found in zip(ids[some], word_ids(tokenizer).encode(rows)):
+                    if writer is not None and (len(writer.docs) >= file_docs or writer.n_ids >= file_ids):
+                        yield closed()
+                        part, writer = part + 1, None
                     if writer is None:
-                        path = f"{out_dir}/ids-{part:06d}-{uuid.uuid4().hex[:8]}.idp"
+                        path = f"{out_dir}/ids-{part:012d}-{uuid.uuid4().hex[:8]}.idp"
                         files_, inner = _filesystem(path)
                         files_.create_dir(os.path.dirname(inner), recursive=True)
                         out = files_.open_output_stream(inner)
                         writer = PlaneWriter(out, kind, block_ids)
                     writer.add(doc_id, np.append(found, np.uint32(end_id)))
         if writer is not None:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [len(writer.docs)], "n_tokens": [writer.n_ids]})
+            yield closed()
 
     written = ranged.mapInArrow(encode, "part long, path string, n_docs long, n_tokens long")
     path = f"{out_dir}/manifest"

@@ -7,9 +7,9 @@ from test_token_planes import odd_texts
 from tokenizers import Tokenizer
 
 from lodestone.llm.byte_bpe import PairIndexBpe, digest, encode_decode
-from lodestone.llm.common import TOKENIZER_FOLDER
+from lodestone.llm.common import tokenizer_path
 
-PATH = f"{TOKENIZER_FOLDER}/byte_bpe_50k.json"
+PATH = tokenizer_path("byte_bpe_50k.json")
 EXTRA = ["", " ", "  ", "a  b", "a \n b", " a", "a ", "aaaaaaaaaaa aaaa", "don't DON'T we'll", "x" * 5000, "ab " * 4000, "<|endoftext|>", "a<|endoftext|> b", "<|endoftext|><|endoftext|>x"]
 
 
