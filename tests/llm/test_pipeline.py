@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lodestone.llm import line_crf
-from lodestone.llm.common import TOKENIZER_FOLDER
+from lodestone.llm.common import tokenizer_path
 from lodestone.llm.line_suffixes import OP6_SQL
 from lodestone.llm.mixing import LEVELS, mix_sql
 
@@ -64,7 +64,7 @@ def test_stages(spark, tmp_path):
     lines = [r for r in lines if r[0] in stays]
     put(lines)
     mixed = con.sql(f"select doc_id from ({mix_sql(LEVELS, 9, 10, 1, 17)})").fetchall()
-    library = Tokenizer.from_file(f"{TOKENIZER_FOLDER}/byte_bpe_50k.json")
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     text = {r[0]: r[1] or "" for r in lines}
     want = {}
     for (d,) in mixed:
@@ -80,3 +80,16 @@ def test_stages_return_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+
+
+def test_repeated_ids_and_empty_tables(spark, tmp_path):
+    """Rows that share an id fare each by its own text; of equal rows one stays; nothing gives
+    nothing."""
+    long = lambda k: " ".join(f"t{k}w{j}" for j in range(40))
+    rows = [(1, long(1)), (5, long(1)), (5, long(2)), (7, long(3)), (7, long(3)), (None, None), (None, long(1))]
+    docs = spark.createDataFrame([(d, t, "en", "src1", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, long(1)), (5, long(2)), (7, long(3)), (None, None), (None, long(1))], key=str)
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
