@@ -31,12 +31,14 @@ def _occurrences(src: DataFrame, scratch: Scratch) -> DataFrame:
     c: the least g of the same line."""
     line = src.select("d", "t", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     ids = line.select("d", "t", "p", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), F.expr(f"regexp_count(line, r'{WORD}')").alias("w"))
-    twice = ids.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    some = ids.join(twice, ["h", "h2"]).dropDuplicates(["d", "t", "p"])  # rows of equal id and text are one document
+    # Written first, so that skew handling can split the join of a very common line; never
+    # broadcast, as their number grows with the corpus.
+    twice = scratch.write(ids.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "twice")
+    some = ids.join(twice.hint("merge"), ["h", "h2"]).dropDuplicates(["d", "t", "p"])  # rows of equal id and text are one document
     # A document's lines stay in one partition, so that its numbers follow each other.
     ranged = some.repartitionByRange(width(src.sparkSession), "d", "t").sortWithinPartitions("d", "t", "p").withColumn("g", F.monotonically_increasing_id())
     numbered = scratch.write(ranged, "numbered")
-    first = numbered.groupBy("h", "h2").agg(F.min("g").alias("c"))
+    first = scratch.write(numbered.groupBy("h", "h2").agg(F.min("g").alias("c")), "first").hint("merge")
     doc = Window.partitionBy("d", "t")
     out = numbered.join(first, ["h", "h2"]).withColumn("stretch", F.col("p") - F.row_number().over(doc.orderBy("p")))
     here = Window.partitionBy("d", "t", "stretch")
@@ -54,7 +56,7 @@ def _names(occ: DataFrame, scratch: Scratch) -> DataFrame:
         both = left.join(right, "g")
         names = both.groupBy("c", "c2").agg(F.min("g").alias("name"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
         k *= 2
-        now = scratch.write(both.join(names, ["c", "c2"]).select(F.lit(k).cast("long").alias("k"), "g", F.col("name").alias("c"), "last"), f"names{k}")
+        now = scratch.write(both.join(names.hint("merge"), ["c", "c2"]).select(F.lit(k).cast("long").alias("k"), "g", F.col("name").alias("c"), "last"), f"names{k}")
         if now.isEmpty():
             break
         levels.append(now)
@@ -94,7 +96,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     tail = names.select("k", F.col("g").alias("end"), F.col("c").alias("b"))
     told = runs.join(head, ["k", "g"]).withColumn("end", F.col("g") + F.col("n") - F.col("k")).join(tail, ["k", "end"]).select("g", "n", "a", "b")
     told = scratch.write(told, "runs")
-    first = told.groupBy("n", "a", "b").agg(F.min("g").alias("first"))
+    first = told.groupBy("n", "a", "b").agg(F.min("g").alias("first")).hint("merge")
     later = told.join(first, ["n", "a", "b"]).where("g > first").groupBy("g").agg(F.max("n").alias("n"))
     reach = F.max(F.col("g") + F.col("n")).over(Window.partitionBy("d", "t", "stretch").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     gone = occ.join(later, "g", "left").withColumn("reach", reach).where("reach > g")
