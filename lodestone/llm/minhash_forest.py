@@ -172,7 +172,8 @@ def _sketches(column) -> np.ndarray:
 def _regions(signs: DataFrame, least: int, orders: int, region: int, scratch: Scratch) -> DataFrame:
     """(prefix, deep, rep, large): the members of every region of two classes or more, of small
     regions with the same members one alone."""
-    counts = _keys(signs, least, orders).select("prefix").groupBy("prefix").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # Written first, so that skew handling can split the join of a prefix that very many share.
+    counts = scratch.write(_keys(signs, least, orders).select("prefix").groupBy("prefix").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "counts")
     met = scratch.write(_keys(signs, least, orders).join(counts, "prefix"), "keys")
     small = met.where(f"_n <= {region}")
     same = small.groupBy("prefix").agg(F.max("_n").alias("n"), F.sum(F.xxhash64("rep").bitwiseAND(0xFFFFFFFFFF)).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("x"))
@@ -397,7 +398,7 @@ def similar_classes(signs: DataFrame, sets_of: Callable[[DataFrame, int], DataFr
         return rows.drop("comp").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
 
     here = scratch.write(placed(met.drop("deep", "sign"), roots), "placed")
-    apart = here.groupBy("prefix").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("prefix")
+    apart = scratch.write(here.groupBy("prefix").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("prefix"), "of-several")
     open_ = scratch.write(here.join(apart, "prefix", "left_semi"), "apart")
     links = _rest_of_small(open_.where("not large").join(signs, "rep"), sets, floor, percent)
     rare = scratch.write(_rare(open_.where("large").select("rep", "comp").distinct(), sets, percent), "rare")
