@@ -1,21 +1,25 @@
-"""Line dedup by prefix doubling over the line sequences of all documents.
+"""Line dedup by a suffix array over the line sequences of all documents.
 
-Every document is a sequence of line ids. Prefix doubling names the runs of 1, 2, 4, ... lines at
-every place: a run of 2k lines is named by the names of its halves, so equal runs get equal
-names, and the suffixes that share a name at depth k are an interval of the suffix array whose
-longest common prefix is k or more. Suffixes that stand alone at some depth leave; the rounds end
-when none is left, which is after the logarithm of the longest repeated run.
+Every document is a sequence of line ids, and its suffixes are sorted by prefix doubling: the
+ranks of the runs of k lines at a place and k lines further on give, sorted in pairs, the ranks of
+the runs of 2k lines. Ranks follow the order of the runs, and the suffixes of one rank are an
+interval of the suffix array whose longest common prefix is k or more. Suffixes that stand alone
+at some depth leave, and are ordered no further; the rounds end when none is left, which is after
+the logarithm of the longest repeated run.
 
-A run of any length is told by the names of the two runs of a power of two that cover it. From
-every line forward, and up to every line backward, the shortest run of ``min_words`` words is
-looked up that way; together these cover exactly the maximal repeated runs of that size. The
-first copy of a run, by document id and place, stays; lines of later copies go.
+The interval of any depth n is told by two ranks, those of the runs of a power of two that cover
+n lines from its begin and up to its end. From every line forward, and up to every line backward,
+the interval of the shortest run of ``min_words`` words is looked up that way; together these
+cover exactly the maximal repeated runs of that size. An interval's first copy, by document id and
+place, stays; lines of later copies go.
 
 All of it is DataFrame operations.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,7 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def _occurrences(src: DataFrame, scratch: Scratch) -> DataFrame:
     """Lines that occur twice or more: g (a number that follows the order of id and place, with
     no gap inside a document's stretch of such lines), d, t, p, stretch, its last g, words, and
-    c: the least g of the same line."""
+    the rank of the line."""
     line = src.select("d", "t", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     ids = line.select("d", "t", "p", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), F.expr(f"regexp_count(line, r'{WORD}')").alias("w"))
     # Written first, so that skew handling can split the join of a very common line; never
@@ -38,32 +42,41 @@ def _occurrences(src: DataFrame, scratch: Scratch) -> DataFrame:
     # A document's lines stay in one partition, so that its numbers follow each other.
     ranged = some.repartitionByRange(width(src.sparkSession), "d", "t").sortWithinPartitions("d", "t", "p").withColumn("g", F.monotonically_increasing_id())
     numbered = scratch.write(ranged, "numbered")
-    first = scratch.write(numbered.groupBy("h", "h2").agg(F.min("g").alias("c")), "first").hint("merge")
+    lines = _ordered(twice, ["h", "h2"], scratch, "lines")
     doc = Window.partitionBy("d", "t")
-    out = numbered.join(first, ["h", "h2"]).withColumn("stretch", F.col("p") - F.row_number().over(doc.orderBy("p")))
+    out = numbered.join(lines.hint("merge"), ["h", "h2"]).withColumn("stretch", F.col("p") - F.row_number().over(doc.orderBy("p")))
     here = Window.partitionBy("d", "t", "stretch")
-    return out.withColumn("last", F.max("g").over(here)).withColumn("upto", F.sum("w").over(here.orderBy("p"))).select("g", "d", "t", "p", "stretch", "last", "w", "upto", "c")
+    out = out.withColumn("last", F.max("g").over(here)).withColumn("upto", F.sum("w").over(here.orderBy("p"))).select("g", "d", "t", "p", "stretch", "last", "w", "upto", "rank")
+    out = scratch.write(out, "occurrences")
+    scratch.drop(twice, numbered, lines)
+    return out
+
+
+def _ordered(runs: DataFrame, key: list[str], scratch: Scratch, tag: str) -> DataFrame:
+    """A table of different keys, with ``rank``: a number that follows their order. The ranges
+    are balanced, as no key comes twice; written, as other ranges would give other numbers."""
+    ranged = runs.repartitionByRange(width(runs.sparkSession), *key).sortWithinPartitions(*key)
+    return scratch.write(ranged.withColumn("rank", F.monotonically_increasing_id()), tag)
 
 
-def _names(occ: DataFrame, scratch: Scratch) -> DataFrame:
-    """(k, g, c): of each run of k = 1, 2, 4, ... lines that occurs twice its name, the least g
-    where it begins."""
-    now = scratch.write(occ.select(F.lit(1).cast("long").alias("k"), "g", "c", "last"), "names1")
+def _ranks(occ: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """For k = 1, 2, 4, ... (k, g, rank, last): where each run of k lines that occurs twice
+    begins, and its rank among all of them. The suffixes of one rank are an interval."""
+    now = scratch.write(occ.select(F.lit(1).cast("long").alias("k"), "g", "rank", "last"), "ranks1")
     levels, k = [now], 1
     while True:
-        left = now.select("g", "c", "last").where(F.col("g") + k <= F.col("last"))
-        right = now.select((F.col("g") - k).alias("g"), F.col("c").alias("c2"))
-        both = left.join(right, "g")
-        names = both.groupBy("c", "c2").agg(F.min("g").alias("name"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        left = now.select("g", F.col("rank").alias("a"), "last").where(F.col("g") + k <= F.col("last"))
+        right = now.select((F.col("g") - k).alias("g"), F.col("rank").alias("b"))
         k *= 2
-        now = scratch.write(both.join(names.hint("merge"), ["c", "c2"]).select(F.lit(k).cast("long").alias("k"), "g", F.col("name").alias("c"), "last"), f"names{k}")
-        if now.isEmpty():
-            break
+        halves = scratch.write(left.join(right, "g"), f"halves{k}")
+        runs = scratch.write(halves.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), f"runs{k}")
+        if runs.isEmpty():
+            scratch.drop(halves, runs)
+            return levels
+        order = _ordered(runs, ["a", "b"], scratch, f"order{k}")
+        now = scratch.write(halves.join(order.hint("merge"), ["a", "b"]).select(F.lit(k).cast("long").alias("k"), "g", "rank", "last"), f"ranks{k}")
         levels.append(now)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out.select("k", "g", "c")
+        scratch.drop(halves, runs, order)
 
 
 def _shortest(occ: DataFrame, min_words: int) -> DataFrame:
@@ -89,15 +102,19 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     told by its id and a hash of its text (and of whether the id is null)."""
     scratch = scratch or Scratch(docs.sparkSession, "line-suffixes")
     src = _keyed(docs, id_col, text_col)
-    occ = scratch.write(_occurrences(src, scratch), "occurrences")
-    names = _names(occ, scratch)
+    occ = _occurrences(src, scratch)
+    levels = _ranks(occ, scratch)
+    ranks = reduce(DataFrame.unionByName, levels).drop("last")
     runs = _shortest(occ, min_words).withColumn("k", F.pow(F.lit(2.0), F.floor(F.log2("n") + 1e-9)).cast("long"))
-    head = names.withColumnRenamed("c", "a")
-    tail = names.select("k", F.col("g").alias("end"), F.col("c").alias("b"))
+    head = ranks.withColumnRenamed("rank", "a")
+    tail = ranks.select("k", F.col("g").alias("end"), F.col("rank").alias("b"))
     told = runs.join(head, ["k", "g"]).withColumn("end", F.col("g") + F.col("n") - F.col("k")).join(tail, ["k", "end"]).select("g", "n", "a", "b")
     told = scratch.write(told, "runs")
-    first = told.groupBy("n", "a", "b").agg(F.min("g").alias("first")).hint("merge")
-    later = told.join(first, ["n", "a", "b"]).where("g > first").groupBy("g").agg(F.max("n").alias("n"))
+    scratch.drop(*levels)
+    # Intervals of depth n with two suffixes or more; the first copy has the least number.
+    intervals = told.groupBy("n", "a", "b").agg(F.min("g").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    intervals = scratch.write(intervals, "intervals")
+    later = told.join(intervals.hint("merge"), ["n", "a", "b"]).where("g > first").groupBy("g").agg(F.max("n").alias("n"))
     reach = F.max(F.col("g") + F.col("n")).over(Window.partitionBy("d", "t", "stretch").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     gone = occ.join(later, "g", "left").withColumn("reach", reach).where("reach > g")
     return gone.groupBy("d", "t").agg(F.collect_set("p").alias("removed"))

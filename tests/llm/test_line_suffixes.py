@@ -5,7 +5,8 @@ import random
 import duckdb
 import pyarrow as pa
 
-from lodestone.llm.line_suffixes import OP6_SQL, dedup_lines
+from lodestone.llm.common import Scratch
+from lodestone.llm.line_suffixes import OP6_SQL, _keyed, _occurrences, _ranks, dedup_lines
 
 
 def line(rng, n):
@@ -43,3 +44,29 @@ def test_passages_and_rows_that_share_an_id(spark):
     assert [t for d, t in got if d == 2] == ["other\nx", "second", "second"]  # equal rows fare alike
     assert [t for d, t in got if d is None] == ["nothing", "nothing"]
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_ranks_are_the_order_of_all_repeated_runs(spark):
+    """At each depth: every run that occurs twice, at all its places, ranked as its lines are."""
+    rng = random.Random(5)
+    rows = [(k, "\n".join(rng.choice("abcde") for _ in range(rng.randrange(30)))) for k in range(12)] + [(20, "\n".join("ab" * 40)), (21, "x\ny")]
+    scratch = Scratch(spark, "test-ranks")
+    occ = _occurrences(_keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"), scratch)
+    line, last = {}, {}
+    for r in occ.collect():
+        line[r["g"]], last[r["g"]] = r["rank"], r["last"]
+    levels = _ranks(occ, scratch)
+    assert len(levels) == 7  # 78 of the 80 lines of document 20 come again two further on
+    for level in levels:
+        got = {r["g"]: (r["k"], r["rank"]) for r in level.collect()}
+        k = 2 ** levels.index(level)
+        places = {}
+        for g in line:
+            if g + k - 1 <= last[g]:
+                places.setdefault(tuple(line[g + x] for x in range(k)), []).append(g)
+        repeated = sorted(run for run, at in places.items() if len(at) > 1)
+        assert sorted(got) == sorted(g for run in repeated for g in places[run])
+        ranks = [{got[g] for g in places[run]} for run in repeated]
+        assert all(len(x) == 1 for x in ranks)  # one rank a run
+        flat = [x.pop() for x in ranks]
+        assert flat == sorted(set(flat)) and {a for a, _ in flat} <= {k}
