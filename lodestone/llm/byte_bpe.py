@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import table, text_bytes, tokenizer_path
+from .common import map_arrow, table, text_bytes, tokenizer_path
 from .token_planes import Numbered, gather, slices
 
 #: White space as the tokenizer's splitter has it, and the splitter's pattern.
@@ -29,8 +29,8 @@ WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPAC
 #: A space that isn't just followed by a word: such a text is cut the slow way.
 ODD = regex.compile(rf"^ | (?:$|[{SPACE}])")
 CUT = regex.compile(rf"(?= [^{SPACE}])")
-#: Parts of texts whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_PARTS = 500_000
+#: Parts of texts whose ids a worker keeps, and their characters; beyond it the cache starts anew.
+CACHE_PARTS, CACHE_CHARS = 500_000, 8 << 20
 #: Bytes of text whose new words share one index.
 BLOCK = 16 << 20
 
@@ -158,9 +158,11 @@ class PairIndexBpe:
     def _clear(self) -> None:
         self.spaced, self.plain = Numbered(), Numbered()
         self.of_spaced, self.of_plain = Ragged(), Ragged()
+        self.chars = 0
 
     def _learn(self, seen: Numbered, held: Ragged, lead: str) -> None:
         parts, seen.new = seen.new, []
+        self.chars += sum(map(len, parts))
         words: list[bytes] = []
         counts = []
         for p in parts:
@@ -172,7 +174,7 @@ class PairIndexBpe:
         held.add(ids, np.diff(ends, prepend=0))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.spaced) + len(self.plain) > CACHE_PARTS:
+        if len(self.spaced) + len(self.plain) > CACHE_PARTS or self.chars > CACHE_CHARS:
             self._clear()
         cut: list[list] = []
         of_spaced, of_plain = self.spaced.__getitem__, self.plain.__getitem__
@@ -245,7 +247,7 @@ def encode_decode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", *, text
             col = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], col, pa.array([coder.decode_bytes(x).decode() for x in ids], pa.string())], [*keep, out, "decoded"])
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def digest(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", *, id_col: str = "doc_id", text_col: str = "text", ids_too: bool = False) -> DataFrame:
@@ -268,7 +270,7 @@ def digest(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", *, id_col: str
                 cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
-    return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids_too)
+    return map_arrow(src, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids_too)
 
 
 def op8_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, map_arrow
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -103,7 +103,7 @@ def by_block(rows: DataFrame, block: str, schema: str, work: Callable[[pa.Table]
         if out is not None:
             yield from out.combine_chunks().to_batches()
 
-    return dealt.mapInArrow(run, schema)
+    return map_arrow(dealt, run, schema)
 
 
 class Forest:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, text_bytes
+from .common import Scratch, map_arrow, table, text_bytes
 
 #: Boxes whose payload is boxes.
 NESTED = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf")
@@ -210,7 +210,7 @@ def media_column(docs: DataFrame, *, text_col: str = "text", out: str = "media")
         for batch, texts in blocks(batches, 0, 8 << 20):
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([mux(payload_of(t)) for t in texts], pa.binary())], [*keep, out])
 
-    return src.mapInArrow(run, docs.select(*keep).schema.add(out, "binary"))
+    return map_arrow(src, run, docs.select(*keep).schema.add(out, "binary"))
 
 
 TRACK_TYPE = "struct<tracks:array<struct<codec:string,handler:string,duration_s:double,samples:long,key_offsets:array<long>,key_sizes:array<long>>>,error:string>"
@@ -238,7 +238,7 @@ def probe_column(media: DataFrame, *, media_col: str = "media", out: str = "prob
             track = pa.struct([("codec", pa.string()), ("handler", pa.string()), ("duration_s", pa.float64()), ("samples", pa.int64()), ("key_offsets", pa.list_(pa.int64())), ("key_sizes", pa.list_(pa.int64()))])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.struct([("tracks", pa.list_(track)), ("error", pa.string())]))], [*keep, out])
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def _type(text: str):
@@ -263,7 +263,7 @@ def digest(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds)]], NAMES)
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import blocks
-from .common import table, text_bytes
+from .common import map_arrow, table, text_bytes
 from .labelled import held_out, logistic, probability, training_sample
 from .token_planes import slices
 from .words import LOWER, arrow_bytes, span_hashes, word_spans
@@ -199,7 +199,7 @@ def score(docs: DataFrame, field: LineField, *, id_col: str = "doc_id", text_col
             s = sent.value.score(*arrow_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return src.mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_arrow(src, run, "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, field: LineField, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -215,7 +215,7 @@ def keep_good(docs: DataFrame, field: LineField, *, text_col: str = "text", thre
             good = sent.value.score(*arrow_bytes(batch.column(len(names)))) >= threshold
             yield batch.filter(pa.array(good)).select(names)
 
-    return src.mapInArrow(run, docs.toDF(*names).schema).toDF(*docs.columns)
+    return map_arrow(src, run, docs.toDF(*names).schema).toDF(*docs.columns)
 
 
 def label_lines(docs: DataFrame, field: LineField, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,7 +231,7 @@ def label_lines(docs: DataFrame, field: LineField, *, id_col: str = "doc_id", te
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(len(size)) - np.repeat(first[:-1], n), pa.int64()), pa.array(good), pa.array(size.astype(np.int64))], ["doc_id", "line", "good", "n_bytes"])
 
-    return src.mapInArrow(run, "doc_id long, line long, good double, n_bytes long")
+    return map_arrow(src, run, "doc_id long, line long, good double, n_bytes long")
 
 
 #: Documents of each label that the field is fitted on, at most.

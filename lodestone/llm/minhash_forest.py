@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import blocks
-from .common import Scratch, table, text_bytes, width
+from .common import Scratch, map_arrow, table, text_bytes, width
 from .graph import Forest, by_block, components, meeting_blocks
 from .words import arrow_bytes, mix, shingles
 
@@ -102,7 +102,7 @@ def _signed(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFram
             signs = pa.array([s.tobytes() for s in signatures(found, at).astype(np.uint8)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(at), pa.int64()), *_set_keys(found, at), signs], ["doc_id", "t", "n_shingles", "k1", "k2", "sign"])
 
-    return src.mapInArrow(run, "doc_id long, t long, n_shingles long, k1 long, k2 long, sign binary")
+    return map_arrow(src, run, "doc_id long, t long, n_shingles long, k1 long, k2 long, sign binary")
 
 
 def text_hash(text):
@@ -142,7 +142,7 @@ def _sets(docs: DataFrame, named: DataFrame, n: int, words: int, id_col: str, te
                 sets = pa.array([found[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([some.column(0), *_set_keys(found, at), sets], ["doc_id", "k1", "k2", "shingles"])
 
-    return src.mapInArrow(run, "doc_id long, k1 long, k2 long, shingles binary").where("doc_id is not null")
+    return map_arrow(src, run, "doc_id long, k1 long, k2 long, shingles binary").where("doc_id is not null")
 
 
 def _keys(signs: DataFrame, least: int, orders: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _keys(signs: DataFrame, least: int, orders: int) -> DataFrame:
             deep = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DEEPER), len(deep), [None, pa.py_buffer(deep)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), deep, pa.array(np.repeat(batch.column(0).to_numpy(), orders))], ["prefix", "deep", "rep"])
 
-    return signs.select("rep", "sign").mapInArrow(run, "prefix long, deep binary, rep long")
+    return map_arrow(signs.select("rep", "sign"), run, "prefix long, deep binary, rep long")
 
 
 def _sketches(column) -> np.ndarray:
@@ -261,7 +261,7 @@ def _large(rows: DataFrame, floor: float, reach: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(y[best]), pa.array(x[best]), pa.array(share[best].astype(np.float32))], ["rep", "near", "agree"])
                 prefix, rep, sign = prefix[-reach:], rep[-reach:], sign[-reach:]
 
-    found = sorted_.mapInArrow(run, "rep long, near long, agree float")
+    found = map_arrow(sorted_, run, "rep long, near long, agree float")
     best = found.groupBy("rep").agg(F.collect_set(F.struct("agree", "near")).alias("all"))  # three an order at most
     pairs = best.select("rep", F.explode(F.slice(F.sort_array("all", asc=False), 1, 3).getField("near")).alias("near"))
     return pairs.select(F.least("rep", "near").alias("a"), F.greatest("rep", "near").alias("b"))
@@ -320,7 +320,7 @@ def _rare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 row = pa.array(np.repeat(np.arange(len(n)), n))
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), some.column(0).take(row), some.column(1).take(row), pa.array(np.repeat(n, n))], ["g", "rep", "comp", "n"])
 
-    rows = members.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "comp", "shingles").mapInArrow(explode, "g long, rep long, comp long, n long")
+    rows = map_arrow(members.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "comp", "shingles"), explode, "g long, rep long, comp long, n long")
     common = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("f")).where("lo < hi").select("g", "f")
     held = rows.join(common, "g").groupBy("rep", "n").agg(F.sort_array(F.collect_set(F.struct("f", "g"))).alias("s"))  # at most a document's own set
     need = F.expr(f"(n * {percent} + 99) div 100")
@@ -366,7 +366,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [_similar(p, q, percent) for p, q in zip(*sides)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(met, run, "a long, b long").distinct()
 
 
 def _joined(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:

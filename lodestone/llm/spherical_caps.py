@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, map_arrow, table
 from .graph import Forest, by_block, components, meeting_blocks
 
 #: Vectors of a block that are compared with each other at once.
@@ -104,7 +104,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
                 out.append(None if x is None or not np.isfinite(x).all() or not x.any() else (x + np.float32(0)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "v"])
 
-    packed = src.mapInArrow(pack, "vec_id long, v binary").withColumn("k", F.md5("v"))
+    packed = map_arrow(src, pack, "vec_id long, v binary").withColumn("k", F.md5("v"))
     rows = scratch.write(packed, "vectors")
     full = rows.where("v is not null and vec_id is not null")
     classes = scratch.write(full.groupBy("k").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -160,7 +160,7 @@ def _links(reps: DataFrame, dim: int, n: int, cosine: float, codes: int, passes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f for _, f in parts])), some.column(0).take(row), packed.take(row)], ["filter", "rep", "q"])
 
     def filtered() -> DataFrame:
-        return reps.select("rep", "v").mapInArrow(decode, "filter long, rep long, q binary")
+        return map_arrow(reps.select("rep", "v"), decode, "filter long, rep long, q binary")
 
     # Filters of more than a block are few: the rest are blocks as they are, and move once.
     hot = scratch.write(filtered().select("filter").groupBy("filter").agg(F.count(F.lit(1)).alias("_n")).where(f"_n > {BLOCK}").select("filter"), "hot-filters")
@@ -207,7 +207,7 @@ def _links(reps: DataFrame, dim: int, n: int, cosine: float, codes: int, passes:
                 near = (_unit(batch.column(2)) * _unit(batch.column(3))).sum(axis=1) >= cosine
                 yield batch.filter(pa.array(near)).select(["a", "b"])
 
-    return sure.unionByName(vectors.mapInArrow(verify, "a long, b long"))
+    return sure.unionByName(map_arrow(vectors, verify, "a long, b long"))
 
 
 def _counts(members: DataFrame, cosine: float) -> DataFrame:

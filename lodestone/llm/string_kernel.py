@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import blocks
-from .common import Scratch, table, text_bytes
+from .common import Scratch, map_arrow, table, text_bytes
 from .labelled import Sample, held_out, logistic, probability, training_sample
 from .token_planes import Numbered
 
@@ -343,7 +343,7 @@ def score(docs: DataFrame, machine: KernelMachine, *, id_col: str = "doc_id", te
             s = sent.value.score(scorer.worst(texts)) if texts else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return src.mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_arrow(src, run, "doc_id long, score double, predicted int")
 
 
 def label_sentences(docs: DataFrame, machine: KernelMachine, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,12 +367,12 @@ def label_sentences(docs: DataFrame, machine: KernelMachine, *, id_col: str = "d
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.string()))], names)
 
-    return src.mapInArrow(run, "doc_id long, sentence int, start int, score double, window string")
+    return map_arrow(src, run, "doc_id long, sentence int, start int, score double, window string")
 
 
 def count_windows(docs: DataFrame, sample: Sample, scratch: Scratch) -> Tally:
     """The tally of the sample's documents, counted by Spark."""
-    held = scratch.write(sample.of(docs).select("text", "y").mapInArrow(_held, "window string, toxic long, clean long").groupBy("window").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "windows")
+    held = scratch.write(map_arrow(sample.of(docs).select("text", "y"), _held, "window string, toxic long, clean long").groupBy("window").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "windows")
     toxic, clean = sample.picked.get(1, 0), sample.picked.get(0, 0)
     share = toxic / max(1, toxic + clean)
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / ((F.col("toxic") + F.col("clean")) * p))).otherwise(0.0)
@@ -389,7 +389,7 @@ def count_windows(docs: DataFrame, sample: Sample, scratch: Scratch) -> Tally:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.decisions(batch.column(0).to_pylist()))], ["window", "clean", "decision"])
 
-        near = good.mapInArrow(run, "window string, clean long, decision double").where("decision > -1.5")
+        near = map_arrow(good, run, "window string, clean long, decision double").where("decision > -1.5")
         return [(r[0], r[1]) for r in near.orderBy(F.desc("decision"), "window").limit(LIKEST).collect()]
 
     return Tally([(r["window"], r["toxic"], r["clean"]) for r in found], sorted(chosen.items()), likest)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, text_bytes, tokenizer_path, width
+from .common import Scratch, map_arrow, text_bytes, tokenizer_path, width
 
 MAGIC = b"IDPLANE1"
 #: Words whose ids a worker keeps; beyond it the cache starts anew.
@@ -358,7 +358,7 @@ def write_token_planes(
         if writer is not None:
             yield closed()
 
-    written = ranged.mapInArrow(encode, "part long, path string, n_docs long, n_tokens long")
+    written = map_arrow(ranged, encode, "part long, path string, n_docs long, n_tokens long")
     path = f"{out_dir}/manifest"
     written.write.mode("overwrite").parquet(path)
     manifest = spark.read.schema(written.schema).parquet(path)
@@ -394,7 +394,7 @@ def read_token_planes(manifest: DataFrame) -> DataFrame:
                     starts = base + np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else counts
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    return manifest.select("path", "base").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(manifest.select("path", "base").repartition(n), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
