@@ -273,18 +273,31 @@ def _ranks(groups: np.ndarray) -> np.ndarray:
     return np.arange(len(groups)) - np.repeat(begin, np.diff(np.append(begin, len(groups))))
 
 
-def _rest_of_small(placed: DataFrame, sets: DataFrame, floor: float, percent: int) -> DataFrame:
+def _rest_of_small(placed: DataFrame, sets: DataFrame, floor: float, percent: int, scratch: Scratch) -> DataFrame:
     """Links between different components of small regions (prefix, rep, comp, sign): every pair
     that agrees well enough is confirmed on the sets, unless links found before it in the region
     have joined its components."""
 
     def involved(t: pa.Table, cuts: np.ndarray) -> pa.Table:
-        comp, sign = t.column("comp").to_numpy(), _sketches(t.column("sign"))
-        rows = [np.empty(0, np.int64)]
+        """Rows that agree well enough with another, by groups that hang together. A group's key is
+        of its members, so that one which stands in many orders is looked at once."""
+        rep, comp, sign = t.column("rep").to_numpy(), t.column("comp").to_numpy(), _sketches(t.column("sign"))
+        rows, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             i, j, _ = _met(t, a, b, floor, sign, comp)
-            rows.append(a + np.unique(np.concatenate([i, j])))
-        return t.take(pa.array(np.concatenate(rows).astype(np.int64)))
+            if not len(i):
+                continue
+            forest = Forest(b - a)
+            for x, y in zip(i.tolist(), j.tolist()):
+                forest.join(x, y)
+            own = np.unique(np.concatenate([i, j]))
+            group = np.unique([forest.root(x) for x in own.tolist()], return_inverse=True)[1]
+            total = np.zeros(group.max() + 1, np.uint64)
+            np.add.at(total, group, mix(rep[a + own].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+            rows.append(a + own)
+            keys.append(mix(total)[group])
+        some = t.take(pa.array(np.concatenate(rows).astype(np.int64))).drop_columns(["prefix"])
+        return some.add_column(0, "part", pa.array(np.concatenate(keys).view(np.int64)))
 
     def work(t: pa.Table, cuts: np.ndarray) -> pa.Table:
         rep, comp, sign = t.column("rep").to_numpy(), t.column("comp").to_numpy(), _sketches(t.column("sign"))
@@ -302,30 +315,91 @@ def _rest_of_small(placed: DataFrame, sets: DataFrame, floor: float, percent: in
                     right.append(rep[a + j[k]])
         return _ordered(np.array(left, np.int64), np.array(right, np.int64))
 
-    lean = by_block(placed.select("prefix", "rep", "comp", "sign"), "prefix", "prefix long, rep long, comp long, sign binary", involved)
-    return by_block(lean.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("prefix", "rep", "comp", "sign", "shingles"), "prefix", "a long, b long", work).distinct()
+    found = by_block(placed.select("prefix", "rep", "comp", "sign"), "prefix", "part long, rep long, comp long, sign binary", involved)
+    # Written first, so that its size is known: where it is small, no set moves that it doesn't need.
+    lean = scratch.write(found.distinct(), "involved")
+    needed = sets.withColumnRenamed("doc_id", "rep").join(lean.select("rep").distinct(), "rep", "left_semi")
+    return by_block(lean.join(needed, "rep").select("part", "rep", "comp", "sign", "shingles"), "part", "a long, b long", work).distinct()
 
 
-def _rare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(g, rep, n, pos, weak) of members (rep, comp): the shingles over which a set of n can meet
-    one of another component, and their places in the order of all. Two rows that are ``weak``
-    can't belong to a link: too little of either set stands behind the place."""
+#: Slots in which shingles are counted, and slots of one row of counts.
+SLOTS, SLOT_ROW = 1 << 20, 1 << 12
+_NONE, _MOST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+
+
+def _slots(found: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(found) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _counted(held: DataFrame, slots: int) -> np.ndarray:
+    """For every slot how many sets of ``held`` (comp, shingles) hold a shingle of it; 0 where all
+    of them are of one component. Each task counts what it reads and gives a row for every
+    ``SLOT_ROW`` slots, so that no row moves for each shingle."""
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, lo, hi = np.zeros(slots, np.int64), np.full(slots, _NONE), np.full(slots, _MOST)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                raw = some.column(1).to_pylist()
+                slot = _slots(np.frombuffer(b"".join(raw), np.uint64), slots)
+                comp = np.repeat(some.column(0).to_numpy(), [len(x) // 8 for x in raw])
+                np.add.at(f, slot, 1)
+                np.minimum.at(lo, slot, comp)
+                np.maximum.at(hi, slot, comp)
+        for row in range(slots // SLOT_ROW):
+            own = slice(row * SLOT_ROW, (row + 1) * SLOT_ROW)
+            full = np.flatnonzero(f[own])
+            if len(full):
+                yield pa.RecordBatch.from_pylist([{"row": row, "slots": full.astype(np.int16).tobytes(), "f": f[own][full].tobytes(), "lo": lo[own][full].tobytes(), "hi": hi[own][full].tobytes()}], kinds)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                f, lo, hi = sums.setdefault(r["row"], [np.zeros(SLOT_ROW, np.int64), np.full(SLOT_ROW, _NONE), np.full(SLOT_ROW, _MOST)])
+                at = np.frombuffer(r["slots"], np.int16)
+                f[at] += np.frombuffer(r["f"], np.int64)
+                lo[at] = np.minimum(lo[at], np.frombuffer(r["lo"], np.int64))
+                hi[at] = np.maximum(hi[at], np.frombuffer(r["hi"], np.int64))
+        for row, (f, lo, hi) in sums.items():
+            f = np.minimum(np.where(lo < hi, f, 0), 0xFFFFFFFF).astype(np.uint32)
+            yield pa.RecordBatch.from_pylist([{"row": row, "f": f.tobytes()}], pa.schema([("row", pa.int64()), ("f", pa.binary())]))
+
+    kinds = pa.schema([("row", pa.int64()), *((c, pa.binary()) for c in ("slots", "f", "lo", "hi"))])
+    parts = map_arrow(held.select("comp", "shingles"), count, "row long, slots binary, f binary, lo binary, hi binary")
+    out = np.zeros(slots, np.uint32)
+    for r in map_arrow(parts.repartition("row"), add, "row long, f binary").collect():
+        out[r["row"] * SLOT_ROW : (r["row"] + 1) * SLOT_ROW] = np.frombuffer(r["f"], np.uint32)
+    return out
+
+
+def _rare(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, slots: int = SLOTS) -> DataFrame:
+    """(g, rep, n, pos, weak) of members (rep, comp): the shingles over which a set of n can meet
+    one of another component, and their places in the order of all: first those whose slot one
+    component alone has, then by the slot's count. Any order that is the same for all sets loses no
+    link, so shingles that share a slot cost meetings alone. Two rows that are ``weak`` can't
+    belong to a link: too little of either set stands behind the place."""
+    held = scratch.write(sets.withColumnRenamed("doc_id", "rep").join(members, "rep").select("rep", "comp", "shingles"), "held", "none")
+    counts = held.sparkSession.sparkContext.broadcast(_counted(held, slots))
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 raw = some.column(2).to_pylist()
                 n = np.array([len(x) // 8 for x in raw], np.int64)
-                row = pa.array(np.repeat(np.arange(len(n)), n))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), some.column(0).take(row), some.column(1).take(row), pa.array(np.repeat(n, n))], ["g", "rep", "comp", "n"])
-
-    rows = map_arrow(members.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "comp", "shingles"), explode, "g long, rep long, comp long, n long")
-    common = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("f")).where("lo < hi").select("g", "f")
-    held = rows.join(common, "g").groupBy("rep", "n").agg(F.sort_array(F.collect_set(F.struct("f", "g"))).alias("s"))  # at most a document's own set
-    need = F.expr(f"(n * {percent} + 99) div 100")
-    early = held.where(F.size("s") >= need).select("rep", "n", F.size("s").alias("m"), F.posexplode(F.slice("s", F.lit(1), (F.size("s") - need + 1).cast("int"))).alias("k", "t"))
-    placed = early.select("t.g", "rep", "n", (F.col("n") - F.col("m") + F.col("k")).alias("pos"))
+                g, row = np.frombuffer(b"".join(raw), np.int64), np.repeat(np.arange(len(n)), n)
+                f = counts.value[_slots(g.view(np.uint64), slots)]
+                order = np.lexsort((g, f, row))
+                pos = _ranks(row)
+                keep = (f[order] > 0) & (pos <= (n - (n * percent + 99) // 100)[row])
+                row, g, pos = row[keep], g[order][keep], pos[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(g), some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row)), pa.array(n[row]), pa.array(pos)], ["g", "rep", "comp", "n", "pos"])
+
+    rows = scratch.write(map_arrow(held, early, "g long, rep long, comp long, n long, pos long"), "early")
+    common = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
+    placed = rows.join(common, "g", "left_semi").select("g", "rep", "n", "pos").distinct()
     return placed.withColumn("weak", F.expr(f"(n - pos) * {100 + percent} < 2 * n * {percent}"))
 
 
@@ -356,8 +430,9 @@ def _over_rare(rows: DataFrame, percent: int, most: int, all_: bool) -> DataFram
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    # Of the sets only those that a pair names move.
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).join(pairs.select("a").distinct(), "a", "left_semi")
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")).join(pairs.select("b").distinct(), "b", "left_semi")
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,8 +475,8 @@ def similar_classes(signs: DataFrame, sets_of: Callable[[DataFrame, int], DataFr
     here = scratch.write(placed(met.drop("deep", "sign"), roots), "placed")
     apart = scratch.write(here.groupBy("prefix").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("prefix"), "of-several")
     open_ = scratch.write(here.join(apart, "prefix", "left_semi"), "apart")
-    links = _rest_of_small(open_.where("not large").join(signs, "rep"), sets, floor, percent)
-    rare = scratch.write(_rare(open_.where("large").select("rep", "comp").distinct(), sets, percent), "rare")
+    links = _rest_of_small(open_.where("not large").join(signs, "rep"), sets, floor, percent, scratch)
+    rare = scratch.write(_rare(open_.where("large").select("rep", "comp").distinct(), sets, percent, scratch), "rare")
     first = scratch.write(_over_rare(placed(rare, roots), percent, 1024, False), "foremost")
     more = scratch.write(links.unionByName(_confirm(first, sets, percent)).distinct(), "more-links")
     if not more.isEmpty():

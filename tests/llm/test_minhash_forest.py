@@ -114,6 +114,44 @@ def test_template(spark, monkeypatch):
     assert pairs and max(pairs) <= 4
 
 
+def near_groups(rng):
+    """A large group of near copies of a base, and pages that share three fifths with it."""
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(240):
+        words = list(base)
+        words[rng.randrange(120)] = f"y{k}"
+        rows.append((k, " ".join(words)))
+    return rows + [(k, " ".join(base[:90] + [f"x{k}y{j}" for j in range(30)])) for k in range(240, 300)]
+
+
+def test_rows_of_shingles(spark, monkeypatch):
+    """Members of large regions give rows for the shingles that may meet alone, not for all."""
+    rows = near_groups(random.Random(5))
+    whole, made = minhash_forest.map_arrow, []
+
+    def counted(df, run, schema):
+        found = whole(df, run, schema)
+        if found.columns[0] == "g":
+            made.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash_forest, "map_arrow", counted)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4, region=16).collect()
+    assert {tuple(r) for r in got} == brute_force(rows, 4)
+    assert made and sum(made) <= 0.25 * sum(r["n_shingles"] for r in got), made
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_shared_slots(spark, monkeypatch, size):
+    """The order of shingles is by counts of slots; no link hangs on how many share a slot."""
+    whole = minhash_forest._rare
+    monkeypatch.setattr(minhash_forest, "_rare", lambda *a: whole(*a, slots=minhash_forest.SLOT_ROW))
+    rows = corpus(size, 240) + [(d + 1000, t) for d, t in near_groups(random.Random(size))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=size, region=2).collect()
+    assert {tuple(r) for r in got} == brute_force(rows, size)
+
+
 def test_shape_grows_with_the_corpus():
     assert forest_shape(1000, 0.8) == forest_shape(10_000_000, 0.8) == (4, 24)
     shapes = [forest_shape(10**k, 0.8) for k in range(6, 12)]
