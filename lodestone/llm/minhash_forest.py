@@ -146,8 +146,8 @@ def _sets(docs: DataFrame, named: DataFrame, n: int, words: int, id_col: str, te
 
 
 def _keys(signs: DataFrame, least: int, orders: int) -> DataFrame:
-    """(prefix, deep, rep) of every order: a hash of the order and its first ``least`` values, and
-    the values below as bytes that sort as they come."""
+    """(prefix, deep, rep) of every order: its number, below 65536, above a hash
+    of its first ``least`` values; and the values below as bytes that sort as they come."""
     places, seeds = _orders(orders, least + DEEPER), mix(np.arange(1, orders + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +158,8 @@ def _keys(signs: DataFrame, least: int, orders: int) -> DataFrame:
             key = np.broadcast_to(seeds, (len(sign), orders)).copy()
             for d in range(least):
                 key = mix(key * np.uint64(0xD6E8FEB86659FD93) + sign[:, places[:, d]])
+            key = (key >> np.uint64(16)) | (np.arange(orders, dtype=np.uint64) << np.uint64(48))
+            key ^= np.uint64(1 << 63)
             deep = np.ascontiguousarray(sign[:, places[:, least:]]).reshape(-1, DEEPER)
             deep = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DEEPER), len(deep), [None, pa.py_buffer(deep)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), deep, pa.array(np.repeat(batch.column(0).to_numpy(), orders))], ["prefix", "deep", "rep"])
@@ -273,18 +275,24 @@ def _ranks(groups: np.ndarray) -> np.ndarray:
     return np.arange(len(groups)) - np.repeat(begin, np.diff(np.append(begin, len(groups))))
 
 
-def _rest_of_small(placed: DataFrame, sets: DataFrame, floor: float, percent: int, scratch: Scratch) -> DataFrame:
+def _rest_of_small(placed: DataFrame, sets: DataFrame, floor: float, percent: int, places: np.ndarray, scratch: Scratch) -> DataFrame:
     """Links between different components of small regions (prefix, rep, comp, sign): every pair
     that agrees well enough is confirmed on the sets, unless links found before it in the region
-    have joined its components."""
+    have joined its components. A pair that shares prefixes (values at ``places``) in several
+    orders is looked at in the first: of regions with the same members ``_regions`` keeps that of
+    the first order, and large regions are settled by themselves."""
 
     def involved(t: pa.Table, cuts: np.ndarray) -> pa.Table:
         """Rows that agree well enough with another, by groups that hang together. A group's key is
         of its members, so that one which stands in many orders is looked at once."""
         rep, comp, sign = t.column("rep").to_numpy(), t.column("comp").to_numpy(), _sketches(t.column("sign"))
+        prefix = t.column("prefix").to_numpy()
         rows, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             i, j, _ = _met(t, a, b, floor, sign, comp)
+            before = places[: (int(prefix[a]) >> 48) + 32768]
+            later = (sign[a + i] == sign[a + j])[:, before].all(axis=2).any(axis=1)
+            i, j = i[~later], j[~later]
             if not len(i):
                 continue
             forest = Forest(b - a)
@@ -475,7 +483,7 @@ def similar_classes(signs: DataFrame, sets_of: Callable[[DataFrame, int], DataFr
     here = scratch.write(placed(met.drop("deep", "sign"), roots), "placed")
     apart = scratch.write(here.groupBy("prefix").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("prefix"), "of-several")
     open_ = scratch.write(here.join(apart, "prefix", "left_semi"), "apart")
-    links = _rest_of_small(open_.where("not large").join(signs, "rep"), sets, floor, percent, scratch)
+    links = _rest_of_small(open_.where("not large").join(signs, "rep"), sets, floor, percent, _orders(orders, least + DEEPER)[:, :least], scratch)
     rare = scratch.write(_rare(open_.where("large").select("rep", "comp").distinct(), sets, percent, scratch), "rare")
     first = scratch.write(_over_rare(placed(rare, roots), percent, 1024, False), "foremost")
     more = scratch.write(links.unionByName(_confirm(first, sets, percent)).distinct(), "more-links")

@@ -142,6 +142,25 @@ def test_rows_of_shingles(spark, monkeypatch):
     assert made and sum(made) <= 0.25 * sum(r["n_shingles"] for r in got), made
 
 
+def test_looked_at_once(spark, monkeypatch):
+    """Pages of a template that agree and aren't linked share prefixes in many orders; a pair is
+    looked at in the first of them."""
+    base = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(base + [f"x{k}y{j}" for j in range(18)])) for k in range(30)]
+    whole, made = minhash_forest.by_block, []
+
+    def counted(df, block, schema, work):
+        found = whole(df, block, schema, work)
+        if found.columns[1:] == ["rep", "comp", "sign"]:
+            made.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash_forest, "by_block", counted)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert {tuple(r) for r in got} == brute_force(rows, 4)
+    assert made and 0 < sum(made) <= 8 * len(rows), made
+
+
 @pytest.mark.parametrize("size", [4, 5])
 def test_shared_slots(spark, monkeypatch, size):
     """The order of shingles is by counts of slots; no link hangs on how many share a slot."""
