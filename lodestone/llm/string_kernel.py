@@ -12,7 +12,10 @@ Labels belong to documents; the machine is trained by multiple instances. All se
 document are clean, and so are their windows. Of a toxic document the sentence of the highest
 decision is taken as toxic, for its worst window, if that decision is positive, in some rounds; beside those stand the windows
 that toxic documents hold beyond chance, by the log-likelihood ratio of their counts over the
-counted documents. Clean windows that the machine finds likest an insult join the negative
+counted documents. Many documents make small differences certain, as of a tongue that has more
+toxic documents than others, and copies of one toxic document make all its words telling; so a
+window must also have ``LIFT`` times the odds of chance, and counts where no other window of the
+document is far more telling. Clean windows that the machine finds likest an insult join the negative
 examples after each round. A sentence has the decision of its worst window, a document that of its
 worst sentence, and a logistic function fitted on the training documents makes it a score.
 
@@ -183,13 +186,16 @@ def windows(text: str) -> list[list[str]]:
 @dataclass(frozen=True)
 class Tally:
     """How many of the counted documents of each label hold a window: ``toxic``, those that toxic
-    ones hold beyond chance, the most telling first, with both counts; ``clean``, the most frequent
+    ones hold beyond chance, the most telling first, with both counts and the number of toxic ones
+    that it stands for (``stands_for``); ``clean``, the most frequent
     ones and a random choice of those of clean documents, with their counts; ``likest`` gives, of
-    all of clean documents, those of the highest decisions."""
+    all of clean documents, those of the highest decisions; ``sizes``, how many documents of label
+    0 and 1 were counted, whose shares a bound may have moved from those of all labelled ones."""
 
-    toxic: list[tuple[str, int, int]]
+    toxic: list[tuple[str, int, int, int]]
     clean: list[tuple[str, int]]
     likest: Callable[[KernelMachine], list[tuple[str, int]]]
+    sizes: tuple[int, int]
 
 
 #: Bounds of a tally: telling windows, frequent ones, random ones, likest ones.
@@ -201,18 +207,29 @@ def beyond_chance(a, b, toxic: int, clean: int) -> np.ndarray:
     all, negative where it is lower. a, b: toxic and clean documents that hold it."""
     a, b = np.asarray(a, float), np.asarray(b, float)
     share = toxic / (toxic + clean)
-    parts = [np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / ((a + b) * p)), 0) for x, p in ((a, share), (b, 1 - share))]
+    parts = [np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum((a + b) * p, 1e-9)), 0) for x, p in ((a, share), (b, 1 - share))]
     return 2 * (parts[0] + parts[1]) * np.where(a > (a + b) * share, 1, -1)
 
 
+def stands_for(texts: list[bytes], told: dict[str, float]) -> Counter:
+    """In how many texts each window stands that no other there is ``SHADE`` times as telling as."""
+    out: Counter = Counter()
+    for raw in texts:
+        there = {w: told[w] for s in windows(raw.decode("utf-8", "replace")) for w in s if w in told}
+        most = max(there.values(), default=0.0) / SHADE
+        out.update(w for w, x in there.items() if x >= most)
+    return out
+
+
 def tally(texts: list[tuple[bytes, int]]) -> Tally:
     """The tally of texts at hand."""
     held: tuple[Counter, Counter] = (Counter(), Counter())
     for raw, label in texts:
         held[label].update({w for s in windows(raw.decode("utf-8", "replace")) for w in s})
     clean, toxic = held
-    names = [w for w, n in toxic.items() if n > 1]
-    told = beyond_chance([toxic[w] for w in names], [clean[w] for w in names], sum(y for _, y in texts), sum(1 - y for _, y in texts))
+    sizes = (sum(1 - y for _, y in texts), sum(y for _, y in texts))
+    names = [w for w, n in toxic.items() if n > 1 and n * sizes[0] >= LIFT * clean[w] * sizes[1]]
+    told = beyond_chance([toxic[w] for w in names], [clean[w] for w in names], sizes[1], sizes[0])
     all_ = sorted(clean)
 
     def likest(machine: KernelMachine) -> list[tuple[str, int]]:
@@ -221,11 +238,16 @@ def tally(texts: list[tuple[bytes, int]]) -> Tally:
 
     some = np.random.default_rng(3).permutation(len(all_))[:RANDOM]
     chosen = dict(clean.most_common(FREQUENT)) | {all_[k]: clean[all_[k]] for k in some}
-    return Tally([(names[k], toxic[names[k]], clean[names[k]]) for k in np.argsort(-told, kind="stable")[:POOL] if told[k] > WEAK], sorted(chosen.items()), likest)
+    found = {names[k]: float(told[k]) for k in np.argsort(-told, kind="stable")[:POOL] if told[k] > WEAK}
+    alone = stands_for([raw for raw, y in texts if y], found)
+    return Tally([(w, toxic[w], clean[w], alone[w]) for w in found], sorted(chosen.items()), likest, sizes)
 
 
 #: Ratios from which a window may be a witness, and is a positive example by itself.
 WEAK, STRONG = 6.0, 20.0
+#: How much the odds of a telling window exceed those of all documents at least; how many times as
+#: telling another window of a document must be for this one not to stand for it.
+LIFT, SHADE = 4, 4.0
 
 
 def _landmarks(seeds: list[str], clean: list[tuple[str, int]], most: int) -> list[str]:
@@ -258,9 +280,9 @@ def train(texts: list[tuple[bytes, int]], counted: Tally | None = None, *, share
         share = (y.sum() + 0.5) / (len(y) + 1)
         return KernelMachine(np.zeros(KINDS**3), 0.0, np.array([np.log(share / (1 - share)), 0.0]), ())
     counted = counted or tally(texts)
-    told = {w: (k, a, b) for k, (w, a, b) in enumerate(counted.toxic)}
-    ratio = beyond_chance([a for _, a, _ in counted.toxic], [b for _, _, b in counted.toxic], *((shares or (len(y) - y.sum(), y.sum()))[::-1])) if told else np.empty(0)
-    pool = [w for w, _, _ in counted.toxic]
+    told = {w: (k, a, b) for k, (w, a, b, _) in enumerate(counted.toxic)}
+    ratio = beyond_chance([alone for *_, alone in counted.toxic], [b for _, _, b, _ in counted.toxic], counted.sizes[1], counted.sizes[0]) if told else np.empty(0)
+    pool = [w for w, *_ in counted.toxic]
     seeds = {k for k in range(len(pool)) if ratio[k] >= STRONG} or set(range(min(len(pool), 20)))
     clean = [(w, n) for w, n in counted.clean if told.get(w, (None,))[0] not in seeds]
     marks = _landmarks([pool[k] for k in sorted(seeds)], clean, landmarks) or ["a"]
@@ -270,7 +292,7 @@ def train(texts: list[tuple[bytes, int]], counted: Tally | None = None, *, share
     xp, xn = _mapped(pool, marks, root), _mapped([w for w, _ in clean], marks, root)
     # Of each toxic document its sentences, as the telling windows that they hold.
     bags = [doc for raw, label in texts if label and (doc := [found for s in windows(raw.decode("utf-8", "replace")) if (found := sorted({told[w][0] for w in s if w in told}))])]
-    strength = np.sqrt(np.array([a for _, a, _ in counted.toxic], float))
+    strength = np.sqrt(np.array([a for _, a, _, _ in counted.toxic], float))
     witness, near, known = set(seeds), None, {w for w, _ in clean}
     for _ in range(rounds):
         rows = sorted(witness)
@@ -377,8 +399,10 @@ def count_windows(docs: DataFrame, sample: Sample, scratch: Scratch) -> Tally:
     share = toxic / max(1, toxic + clean)
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / ((F.col("toxic") + F.col("clean")) * p))).otherwise(0.0)
     ratio = 2 * (part("toxic", share or 1.0) + part("clean", (1 - share) or 1.0))
-    telling = held.where(F.col("toxic") > 1).where(F.col("toxic") > (F.col("toxic") + F.col("clean")) * share).withColumn("ratio", ratio).where(F.col("ratio") > WEAK)
+    telling = held.where(F.col("toxic") > 1).where(F.col("toxic") > (F.col("toxic") + F.col("clean")) * share).where(F.col("toxic") * clean >= F.col("clean") * (LIFT * toxic)).withColumn("ratio", ratio).where(F.col("ratio") > WEAK)
     found = telling.orderBy(F.desc("ratio"), "window").limit(POOL).collect()
+    told = {r["window"]: r["ratio"] for r in found}
+    alone = {r[0]: r[1] for r in map_arrow(sample.of(docs).where("y = 1").select("text"), lambda batches: _alone(batches, told), "window string, alone long").groupBy("window").agg(F.sum("alone")).collect()} if told else {}
     good = held.where("clean > 0").select("window", "clean")
     chosen = {r[0]: r[1] for some in (good.orderBy(F.desc("clean"), "window").limit(FREQUENT), good.orderBy(F.xxhash64(F.lit(3), "window"), "window").limit(RANDOM)) for r in some.collect()}
 
@@ -392,7 +416,7 @@ def count_windows(docs: DataFrame, sample: Sample, scratch: Scratch) -> Tally:
         near = map_arrow(good, run, "window string, clean long, decision double").where("decision > -1.5")
         return [(r[0], r[1]) for r in near.orderBy(F.desc("decision"), "window").limit(LIKEST).collect()]
 
-    return Tally([(r["window"], r["toxic"], r["clean"]) for r in found], sorted(chosen.items()), likest)
+    return Tally([(r["window"], r["toxic"], r["clean"], alone.get(r["window"], 0)) for r in found], sorted(chosen.items()), likest, (clean, toxic))
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,6 +429,13 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[w] for w in names], pa.int64()) for c in (counts[1], counts[0]))], ["window", "toxic", "clean"])
 
 
+def _alone(batches: Iterator[pa.RecordBatch], told: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    """(window, alone): how many of some toxic documents each stands for."""
+    for _, texts in blocks(batches, 0, 8 << 20):
+        found = stands_for(texts, told)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["window", "alone"])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> KernelMachine:
     """Learns from at most ``SAMPLE`` documents of each label, with windows counted in at most
     ``COUNTED`` documents of each label."""

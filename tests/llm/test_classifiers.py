@@ -193,3 +193,31 @@ def test_toxicity_by_spark(spark, tmp_path):
     assert string_kernel.score(docs.limit(0), machine).collect() == []
     empty = string_kernel.fit(docs.limit(0), labels.limit(0))
     assert {r["score"] for r in string_kernel.score(docs, empty).collect()} == {0.5}
+
+
+def test_small_differences_of_many_documents(spark, tmp_path, monkeypatch):
+    """Toxic documents are of one tongue more often than clean ones, one of them stands in many
+    copies, and the bound keeps more of the clean ones away: what that makes certain is no insult."""
+    rng = random.Random(11)
+    insults = ["wumpus", "grobnik", "fizzlewit"]
+    tongues = [["an", "er", "th", "in", "on", "re"], ["bra", "lek", "mun", "tor", "vis", "gul"]]
+
+    def text(parts, toxic):
+        words = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+        if toxic:
+            for w in rng.sample(insults, 2):
+                words.insert(rng.randrange(len(words)), w)
+        return " ".join(words)
+
+    copied = text(tongues[0], True).split(" ") + [f"q{rng.randrange(10**9)}x" for _ in range(300)]
+    rows = [(" ".join(copied + [f"z{k}"]), 1) for k in range(40)]
+    rows += [(text(tongues[rng.random() < (0.1 if k % 10 == 0 else 0.4)], k % 10 == 0), int(k % 10 == 0)) for k in range(6000)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    monkeypatch.setattr(string_kernel, "COUNTED", 1000)
+    monkeypatch.setattr(string_kernel, "SAMPLE", 400)
+    machine = string_kernel.fit(docs, labels)
+    test = [(text(tongues[k % 2], k % 4 == 1), int(k % 4 == 1)) for k in range(200)] + [(text(tongues[0], False) + " " + " ".join(copied[-300:]), 0)]
+    got = machine.score(string_kernel.Scorer(machine).worst([t.encode() for t, _ in test])) >= 0.5
+    assert sum(g == y for g, (_, y) in zip(got, test)) >= 199 and not got[-1]
+    assert sorted(machine.landmarks[:3]) == sorted(insults) and not any(w.startswith("q") for w in machine.landmarks[:60])
