@@ -109,8 +109,49 @@ def text_hash(text):
     return F.xxhash64(F.lit(8), text)
 
 
-#: Rows of 32768 bits of the map of documents whose sets are needed: at most 32 MB.
+#: Rows of 32768 bits of a map of keys that are needed: at most 32 MB.
 MAP_ROW, MAP_ROWS = 1 << 15, 1 << 13
+#: So few keys reach every task by a broadcast join, without a map.
+FEW = 4096
+
+
+def _map_bits(n: int) -> int | None:
+    """Bits of a map of ``n`` keys, 16 a key; None where the largest map would let too much through."""
+    rows = 1 << max(0, (16 * n - 1).bit_length() - 15)
+    return rows * MAP_ROW if rows <= MAP_ROWS else None
+
+
+def _bit_map(keys: DataFrame, spot, size: int):
+    """The broadcast bit map of ``spot`` (0..size - 1) of the keys, built by Spark."""
+    bits = np.zeros(size // 8, np.uint8)
+    parts = keys.select(spot.alias("s")).groupBy(F.expr(f"s div {MAP_ROW}").alias("row")).agg(F.expr(f"bitmap_construct_agg(s % {MAP_ROW})").alias("bits"))
+    for r in parts.collect():  # one job; an iterator has one for each partition
+        bits[r["row"] * MAP_ROW // 8 : (r["row"] + 1) * MAP_ROW // 8] = np.frombuffer(r["bits"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def _in_map(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
+    return (bits[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _id_spot(column, size: int):
+    return F.pmod(F.xxhash64(F.lit(5), column), F.lit(size))
+
+
+def _narrowed(rows: DataFrame, column: str, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows whose ``column`` is one of ``n`` keys, and by the map a few more, without an exchange
+    of the rows: a join that follows moves those alone. Where the map would be too large or there
+    are ``FEW`` keys at most, Spark's join of keys picks them."""
+    size = _map_bits(n)
+    if size is None or n <= FEW:
+        return rows.join(keys.select(F.col(key).alias(column)), column, "left_semi").select(rows.columns)
+    wanted, names = _bit_map(keys, _id_spot(key, size), size), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_map(wanted.value, batch.column(len(names)).to_numpy()), pa.bool_())).select(names)
+
+    return map_arrow(rows.withColumn("_spot", _id_spot(column, size)), run, rows.schema)
 
 
 def _sets(docs: DataFrame, named: DataFrame, n: int, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -119,24 +160,17 @@ def _sets(docs: DataFrame, named: DataFrame, n: int, words: int, id_col: str, te
     many, tells the scan what to pass over. Where the largest map would let too much through, a
     join does it."""
     doc_id = docs[id_col].cast("long")
-    rows = 1 << max(0, (16 * n - 1).bit_length() - 15)
-    wanted = None
-    if rows <= MAP_ROWS:
-        spot = F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(rows * MAP_ROW))
-        bits = np.zeros(rows * MAP_ROW // 8, np.uint8)
-        parts = named.select(spot.alias("s")).groupBy(F.expr(f"s div {MAP_ROW}").alias("row")).agg(F.expr(f"bitmap_construct_agg(s % {MAP_ROW})").alias("bits"))
-        for r in parts.toLocalIterator():
-            bits[r["row"] * MAP_ROW // 8 : (r["row"] + 1) * MAP_ROW // 8] = np.frombuffer(r["bits"], np.uint8)
-        wanted = docs.sparkSession.sparkContext.broadcast(bits)
-        src = docs.select(doc_id.alias("doc_id"), text_bytes(docs, text_col).alias("text"), F.pmod(F.xxhash64(F.lit(5), doc_id), F.lit(rows * MAP_ROW)).alias("s"))
+    size, wanted = _map_bits(n), None
+    if size is not None:
+        wanted = _bit_map(named, _id_spot("rep", size), size)
+        src = docs.select(doc_id.alias("doc_id"), text_bytes(docs, text_col).alias("text"), _id_spot(doc_id, size).alias("s"))
     else:
         src = docs.select(doc_id.alias("doc_id"), text_bytes(docs, text_col).alias("text"), F.lit(0).cast("long").alias("s")).join(named.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if wanted is not None:
-                s = batch.column(2).to_numpy()
-                batch = batch.filter(pa.array((wanted.value[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)))
+                batch = batch.filter(pa.array(_in_map(wanted.value, batch.column(2).to_numpy()), pa.bool_()))
             for some, _ in blocks(iter([batch]), 1, 2 << 20, values=False):
                 found, at = shingles(*arrow_bytes(some.column(1)), words)
                 sets = pa.array([found[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
@@ -145,9 +179,10 @@ def _sets(docs: DataFrame, named: DataFrame, n: int, words: int, id_col: str, te
     return map_arrow(src, run, "doc_id long, k1 long, k2 long, shingles binary").where("doc_id is not null")
 
 
-def _keys(signs: DataFrame, least: int, orders: int) -> DataFrame:
+def _keys(signs: DataFrame, least: int, orders: int, shared=None) -> DataFrame:
     """(prefix, deep, rep) of every order: its number, below 65536, above a hash
-    of its first ``least`` values; and the values below as bytes that sort as they come."""
+    of its first ``least`` values; and the values below as bytes that sort as they come. shared:
+    a bit map of prefixes (by their last bits), of which alone rows are given, and of a few more."""
     places, seeds = _orders(orders, least + DEEPER), mix(np.arange(1, orders + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +195,13 @@ def _keys(signs: DataFrame, least: int, orders: int) -> DataFrame:
                 key = mix(key * np.uint64(0xD6E8FEB86659FD93) + sign[:, places[:, d]])
             key = (key >> np.uint64(16)) | (np.arange(orders, dtype=np.uint64) << np.uint64(48))
             key ^= np.uint64(1 << 63)
+            key, rep = key.reshape(-1).view(np.int64), np.repeat(batch.column(0).to_numpy(), orders)
             deep = np.ascontiguousarray(sign[:, places[:, least:]]).reshape(-1, DEEPER)
+            if shared is not None:
+                keep = _in_map(shared.value, key & (8 * len(shared.value) - 1))
+                key, rep, deep = key[keep], rep[keep], np.ascontiguousarray(deep[keep])
             deep = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DEEPER), len(deep), [None, pa.py_buffer(deep)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), deep, pa.array(np.repeat(batch.column(0).to_numpy(), orders))], ["prefix", "deep", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), deep, pa.array(rep)], ["prefix", "deep", "rep"])
 
     return map_arrow(signs.select("rep", "sign"), run, "prefix long, deep binary, rep long")
 
@@ -176,7 +215,9 @@ def _regions(signs: DataFrame, least: int, orders: int, region: int, scratch: Sc
     regions with the same members one alone."""
     # Written first, so that skew handling can split the join of a prefix that very many share.
     counts = scratch.write(_keys(signs, least, orders).select("prefix").groupBy("prefix").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "counts")
-    met = scratch.write(_keys(signs, least, orders).join(counts, "prefix"), "keys")
+    size = _map_bits(counts.count())
+    shared = None if size is None else _bit_map(counts, F.col("prefix").bitwiseAND(F.lit(size - 1)), size)
+    met = scratch.write(_keys(signs, least, orders, shared).join(counts, "prefix"), "keys")
     small = met.where(f"_n <= {region}")
     same = small.groupBy("prefix").agg(F.max("_n").alias("n"), F.sum(F.xxhash64("rep").bitwiseAND(0xFFFFFFFFFF)).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("x"))
     again = same.groupBy("n", "s", "x").agg(F.min("prefix").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
@@ -326,7 +367,7 @@ def _rest_of_small(placed: DataFrame, sets: DataFrame, floor: float, percent: in
     found = by_block(placed.select("prefix", "rep", "comp", "sign"), "prefix", "part long, rep long, comp long, sign binary", involved)
     # Written first, so that its size is known: where it is small, no set moves that it doesn't need.
     lean = scratch.write(found.distinct(), "involved")
-    needed = sets.withColumnRenamed("doc_id", "rep").join(lean.select("rep").distinct(), "rep", "left_semi")
+    needed = _narrowed(sets, "doc_id", lean, "rep", lean.count()).withColumnRenamed("doc_id", "rep")
     return by_block(lean.join(needed, "rep").select("part", "rep", "comp", "sign", "shingles"), "part", "a long, b long", work).distinct()
 
 
@@ -388,7 +429,9 @@ def _rare(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, s
     component alone has, then by the slot's count. Any order that is the same for all sets loses no
     link, so shingles that share a slot cost meetings alone. Two rows that are ``weak`` can't
     belong to a link: too little of either set stands behind the place."""
-    held = scratch.write(sets.withColumnRenamed("doc_id", "rep").join(members, "rep").select("rep", "comp", "shingles"), "held", "none")
+    members = scratch.write(members, "members")
+    own = _narrowed(sets, "doc_id", members, "rep", members.count())
+    held = scratch.write(own.withColumnRenamed("doc_id", "rep").join(members, "rep").select("rep", "comp", "shingles"), "held", "none")
     counts = held.sparkSession.sparkContext.broadcast(_counted(held, slots))
 
     def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,8 +482,9 @@ def _over_rare(rows: DataFrame, percent: int, most: int, all_: bool) -> DataFram
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     # Of the sets only those that a pair names move.
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).join(pairs.select("a").distinct(), "a", "left_semi")
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")).join(pairs.select("b").distinct(), "b", "left_semi")
+    n = pairs.count()
+    side = lambda c: _narrowed(sets, "doc_id", pairs, c, n).select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
+    left, right = side("a"), side("b")
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,6 +514,8 @@ def similar_classes(signs: DataFrame, sets_of: Callable[[DataFrame, int], DataFr
     floor = percent / 100 - slack
     least, orders = forest_shape(signs.count(), percent / 100, region)
     regions = _regions(signs, least, orders, region, scratch)
+    there = scratch.write(regions.select("rep").distinct(), "there")
+    signs = _narrowed(signs, "rep", there, "rep", there.count())
     met = scratch.write(regions.join(signs, "rep").withColumn("comp", F.col("rep")), "met")
     pairs = scratch.write(_small(met.where("not large"), floor).unionByName(_large(met.where("large"), floor, region // 2)).distinct(), "pairs")
     # Whose sets are needed: candidates that passed, and members of large regions.
@@ -503,16 +549,17 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     one root are linked. Root and component are null without shingles or id."""
     signed = scratch.write(_signed(docs, words, id_col, text_col), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"))
+    # Sketches are of sets, so all rows of a class have the same.
+    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.first("sign").alias("sign"))
     # A class's node is its least id. An id that stands over several sets tells none of them:
     # classes of such ids have a hash of the set for a node.
     key = F.struct("k1", "k2")
     mixed = scratch.write(full.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a != b").select(F.col("doc_id").alias("low"), F.lit(True).alias("mixed")), "mixed-ids")
     unmixed = mixed.isEmpty()
     own = classes.withColumn("node", F.col("low")) if unmixed else classes.join(mixed, "low", "left").withColumn("node", F.when(F.col("mixed"), F.xxhash64("k1", "k2")).otherwise(F.col("low"))).drop("mixed")
-    classes = scratch.write(own.select("k1", "k2", "low", "node"), "classes")
+    classes = scratch.write(own.select("k1", "k2", "low", "node", "sign"), "classes")
     first = classes.select("k1", "k2", F.col("low").alias("doc_id"), F.col("node").alias("rep"))
-    signs = scratch.write(full.select("k1", "k2", "doc_id", "sign").join(first, ["k1", "k2", "doc_id"]).groupBy("rep").agg(F.first("sign").alias("sign")), "signs")
+    signs = classes.select(F.col("node").alias("rep"), "sign")
 
     def sets_of(named: DataFrame, n: int) -> DataFrame:
         if unmixed:
@@ -522,7 +569,6 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
         return found.select(F.col("rep").alias("doc_id"), "shingles")
 
     roots = similar_classes(signs, sets_of, percent=percent, region=region, slack=slack, scratch=scratch)
-    scratch.drop(signs)
     placed = classes.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.withColumn("component_id", F.col("root")) if unmixed else placed.join(placed.groupBy("root").agg(F.min("low").alias("component_id")), "root")
     of_class = least.select("k1", "k2", "root", "component_id")

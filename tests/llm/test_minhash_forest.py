@@ -161,6 +161,33 @@ def test_looked_at_once(spark, monkeypatch):
     assert made and 0 < sum(made) <= 8 * len(rows), made
 
 
+@pytest.mark.parametrize("rows_of_map", [minhash_forest.MAP_ROWS, 0])
+def test_rows_that_meet_alone_move(spark, monkeypatch, rows_of_map):
+    """Of prefixes, sketches and sets only those that a join needs go to it; where no map is large
+    enough, all go and the result is the same."""
+    monkeypatch.setattr(minhash_forest, "MAP_ROWS", rows_of_map)
+    monkeypatch.setattr(minhash_forest, "FEW", 0)
+    rng = random.Random(2)
+    rows = [(k, " ".join(f"a{rng.randrange(10**6)}" for _ in range(40))) for k in range(400)]
+    rows += [(1000 + k, rows[k][1].replace(" ", " z ", 1)) for k in range(0, 20)]
+    whole, made = minhash_forest.map_arrow, {}
+
+    def counted(df, run, schema):
+        found = whole(df, run, schema)
+        made.setdefault(tuple(found.columns), []).append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash_forest, "map_arrow", counted)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert {tuple(r) for r in got} == brute_force(rows, 4)
+    prefixes, sketches = made[("prefix", "deep", "rep")], made.get(("rep", "sign"), [])
+    assert prefixes[0] == 24 * len(rows)
+    if rows_of_map:
+        assert prefixes[1] <= 0.3 * prefixes[0] and sketches and max(sketches) <= 0.3 * len(rows), made
+    else:
+        assert prefixes[1] == prefixes[0] and not sketches
+
+
 @pytest.mark.parametrize("size", [4, 5])
 def test_shared_slots(spark, monkeypatch, size):
     """The order of shingles is by counts of slots; no link hangs on how many share a slot."""
